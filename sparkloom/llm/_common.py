@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a vectorised step holds as 8-byte words at once.
 SLICE_BYTES = 1 << 20
@@ -63,14 +65,14 @@ def unstash(*frames: DataFrame) -> None:
 
 
 def map_arrow(df: DataFrame, step: Callable, schema: str, columns: list[str]) -> DataFrame:
-    """mapInArrow of step(iterator of tables of the given columns) -> iterator of dicts or Arrow tables."""
+    """mapInArrow of step(iterator of batches of the given columns) -> iterator of dicts of columns, cast to schema."""
     ship(df.sparkSession)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in step(batches):
-            if isinstance(out, dict):
-                out = pa.RecordBatch.from_pydict(out)
-            yield out
+            batch = pa.RecordBatch.from_pydict(out)
+            yield batch if batch.schema.types == kinds.types else batch.cast(pa.schema(kinds, metadata=None))
 
     return df.select(*columns).mapInArrow(run, schema)
 
