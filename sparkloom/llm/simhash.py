@@ -33,6 +33,8 @@ from .words import mix
 SEED = 42
 #: Most fingerprints in one chunk of a large shard: half a megabyte.
 CHUNK_MOST = 1 << 16
+#: Large shards are broadcast up to this number of them (a few megabytes), else joined by a shuffle.
+LARGE_SHARDS = 200_000
 
 
 def fingerprint_bytes(text: bytes, size: int = 4) -> int:
@@ -129,10 +131,10 @@ class VantageTree:
             todo.append((far, q[d + radius > middle]))
 
 
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], parent: np.ndarray | None = None) -> np.ndarray:
-    """Smallest reachable index of each of n nodes."""
-    root = np.arange(n) if parent is None else parent
-
+def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of n nodes, taken from batches of links (a, b)."""
+    root = np.arange(n)
+    kept_a, kept_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in pairs:
         while True:
             ra, rb = root[a], root[b]
@@ -140,100 +142,107 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], parent: np.n
             if not differ.any():
                 break
             a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+            order = np.lexsort((low, high))
+            first = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
+            root[high[first]] = low[first]
+            kept_a.append(a[first])
+            kept_b.append(b[first])
             while True:
                 up = root[root]
                 if (up == root).all():
                     break
                 root = up
-    return root
-
+    return np.concatenate(kept_a), np.concatenate(kept_b)
 
-def _chunk_edges(node: np.ndarray, fp: np.ndarray, word: np.ndarray, first: np.ndarray, radius: int, total: int | None):
-    """Edges of a spanning forest of the links within a chunk, or between the rows in and not in first.
 
-    word: the 64 bits that the shard is made by; fp: all words of a row, for the total distance.
-    """
-    if first.all() or not first.any():
-        a = b = np.arange(len(node))
+def _chunk_edges(node: np.ndarray, word: np.ndarray, side: np.ndarray, radius: int):
+    """Links of a spanning forest within a chunk (side 0), or between the rows of two chunks (sides 1 and 2)."""
+    if side.any():
+        a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
     else:
-        a, b = np.flatnonzero(first), np.flatnonzero(~first)
-    order = np.argsort(node, kind="stable")
-    rank = np.empty(len(node), np.int64)
-    rank[order] = np.arange(len(node))
-
-    def links():
-        for x, y in VantageTree(word[b]).links(word[a], radius):
-            x, y = a[x], b[y]
-            if total is not None:
-                near = _distance(fp, x, y) <= total
-                x, y = x[near], y[near]
-            yield rank[x], rank[y]
-
-    root = _forest(len(node), links())
-    moved = np.flatnonzero(root != np.arange(len(root)))
-    return node[order[moved]], node[order[root[moved]]]
-
-
-def _distance(fp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64)
+        a = b = np.arange(len(node))
+    x, y = _forest(len(node), ((a[i], b[j]) for i, j in VantageTree(word[b]).links(word[a], radius)))
+    return node[x], node[y]
 
 
-def _small_edges(groups: list[dict], radius: int, total: int | None):
+def _small_edges(groups: list[dict], radius: int):
     """All links of many small shards at once: rows at each distance in the list of rows."""
-    node, fp, word = (np.concatenate([g[n] for g in groups]) for n in ("node", "fp", "word"))
+    node, word = (np.concatenate([g[n] for g in groups]) for n in ("node", "word"))
     owner = np.repeat(np.arange(len(groups)), [len(g["node"]) for g in groups])
     for gap in range(1, max(len(g["node"]) for g in groups)):
         i = np.flatnonzero((owner[gap:] == owner[:-gap]) & (np.bitwise_count(word[gap:] ^ word[:-gap]) <= radius))
-        if len(i) and total is not None:
-            i = i[_distance(fp, i, i + gap) <= total]
         if len(i):
-            yield np.maximum(node[i], node[i + gap]), np.minimum(node[i], node[i + gap])
+            yield node[i], node[i + gap]
+
+
+def _often(keys: DataFrame) -> DataFrame:
+    """(key, n) of keys that a task has read twice or more; n falls short of the true count by one for each task at most."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"key": key[n > 1], "n": n[n > 1].astype(np.int64)})
+
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False))
+            if sum(map(len, held)) > 4_000_000:
+                yield flush()
+        if held:
+            yield flush()
+
+    return keys.mapInArrow(step, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, shard_rows: int = 512, words: tuple[str, ...] = ("fp",), total: int | None = None) -> DataFrame:
-    """Edges (a, b), a > b, whose connected components are those of all links. nodes: node and words, distinct.
+def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, shard_rows: int = 512, words: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """Links (a, b), a > b, whose connected components are those of all links. nodes: node and words, distinct.
 
-    Two rows link when one of their words differs in at most radius bits and all words together in at most total.
+    Two rows link when one of their words differs in at most radius bits. A shard is named by a 64-bit hash of its number and
+    cell; should two shards share a name, the distance still decides about each pair.
     """
+    spark = nodes.sparkSession
+    ship(spark)
     rows = nodes.count() if rows is None else rows
     blocks = blocks_for(rows, radius, shard_rows)
     masks = block_masks(blocks)
     choices = [sum(masks[k] for k in kept) for kept in itertools.combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in choices]
-    cells = [F.struct(F.lit(j * len(signed) + i).alias("shard"), F.col(w).bitwiseAND(F.lit(m)).alias("cell")) for j, w in enumerate(words) for i, m in enumerate(signed)]
-    keyed = nodes.select("node", *words, F.explode(F.array(*cells)).alias("k")).select("node", *words, "k.shard", "k.cell")
-    large = keyed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
-    size = F.greatest(F.lit(shard_rows), F.least(F.lit(CHUNK_MOST), F.col("n") / 32))
-    large = large.select(F.col("shard").alias("s"), F.col("cell").alias("c"), F.ceil(F.col("n") / size).cast("int").alias("chunks"))
-    met = keyed.join(large, (F.col("shard") == F.col("s")) & (F.col("cell") == F.col("c")), "left").drop("s", "c")
-    met = met.withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64(*words), F.col("chunks")).cast("int"))
-    low = F.least(F.col("chunk"), F.col("other"))
-    high = F.greatest(F.col("chunk"), F.col("other"))
-    # A shard of few rows is one key; each pair of chunks (lo, hi) of a large one is a key of its own.
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "node", *words, "shard", "cell", "chunk", low.alias("lo"), high.alias("hi"), F.xxhash64("shard", "cell", low, high).alias("key")
-    )
-    spark = nodes.sparkSession
+    cells = [
+        F.struct(F.xxhash64(F.lit(j * len(signed) + i), F.col(w).bitwiseAND(F.lit(m))).alias("key"), F.col(w).alias("word"))
+        for j, w in enumerate(words) for i, m in enumerate(signed)
+    ]
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), rows * len(cells) // 2_000_000)
-    dealt = dealt.repartition(parts, "key").sortWithinPartitions("key", "shard", "cell", "lo", "hi")
-    ship(spark)
+    keyed = nodes.repartition(parts, "node").select("node", F.explode(F.array(*cells)).alias("k")).select("node", "k.key", "k.word")
+    size = F.greatest(F.lit(shard_rows), F.least(F.lit(CHUNK_MOST), F.col("n") / 32))
+    large = stash(_often(keyed.select("key")).where(F.col("n") > shard_rows).select(F.col("key").alias("large"), F.ceil(F.col("n") / size).cast("int").alias("chunks")), "large")
+    few = large.count() <= LARGE_SHARDS
+    met = keyed.join(F.broadcast(large) if few else large, F.col("key") == F.col("large"), "left")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    met = met.withColumn("chunk", chunk).withColumn("other", F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(-1)))))
+    low, high = F.least(F.col("chunk"), F.col("other")), F.greatest(F.col("chunk"), F.col("other"))
+    # A shard of few rows keeps its key; each pair of chunks of a large one is a key of its own.
+    dealt = met.select(
+        "node", "word", F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"),
+        F.when((F.col("other") < 0) | (F.col("chunk") == F.col("other")), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
+    )
+    dealt = dealt.repartition(parts, "key").sortWithinPartitions("key")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("shard", "cell", "lo", "hi", "chunk", "node")
+        names = ("key", "node", "word", "side")
 
         def groups() -> Iterator[dict]:
             rest = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                column = lambda n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                cols = {n: column(n) for n in names}
-                cols["fp"] = np.stack([column(w).view(np.uint64) for w in words], axis=1)  # signed numbers would give the bits of absolute values
-                cols["word"] = cols["fp"][np.arange(batch.num_rows), cols["shard"] // len(signed)]
+                cols = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names}
+                cols["word"] = cols["word"].view(np.uint64)  # signed numbers would give the bits of absolute values
                 if rest is not None:
                     cols = {n: np.concatenate((rest[n], v)) for n, v in cols.items()}
-                cuts = [0, *(np.flatnonzero(np.logical_or.reduce([cols[n][1:] != cols[n][:-1] for n in names[:4]])) + 1).tolist()]
+                cuts = [0, *(np.flatnonzero(cols["key"][1:] != cols["key"][:-1]) + 1).tolist()]
                 for a, b in zip(cuts, cuts[1:]):
                     if b - a > 1:
                         yield {n: v[a:b] for n, v in cols.items()}
@@ -249,20 +258,18 @@ def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, sh
                     held.append(g)
                     count += len(g["node"])
                     if count >= 1 << 15:
-                        yield from _small_edges(held, radius, total)
+                        yield from _small_edges(held, radius)
                         held, count = [], 0
                     continue
-                one = g["chunk"] == g["lo"]
-                if g["lo"][0] == g["hi"][0] or one.any() and not one.all():
-                    yield _chunk_edges(g["node"], g["fp"], g["word"], one, radius, total)
+                yield _chunk_edges(g["node"], g["word"], g["side"], radius)
             if held:
-                yield from _small_edges(held, radius, total)
+                yield from _small_edges(held, radius)
 
         for a, b in edges():
             if len(a):
-                yield pa.RecordBatch.from_pydict({"a": a.astype(np.int64), "b": b.astype(np.int64)})
+                yield pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    return dealt.mapInArrow(step, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(step, "a bigint, b bigint").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -332,7 +339,11 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, word
     sketches = stash(map_arrow(docs, step, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names), [id_col, text_col]), "sketches")
     lowest = -(2**63)
     nodes = stash(sketches.groupBy(*names).agg(F.min(F.coalesce(F.col("doc_id"), F.lit(lowest))).alias("node")), "nodes")
-    roots = components(hamming_edges(nodes, radius, words=names, total=total))
+    links = stash(hamming_edges(nodes, radius, words=names), "links")
+    ends = [nodes.select(F.col("node").alias(e), F.array(*names).alias(f"words_{e}")) for e in ("a", "b")]
+    bits = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    links = links.join(ends[0], "a").join(ends[1], "b").where(bits <= total).select("a", "b")
+    roots = components(links)
     named = nodes.join(roots, "node", "left").select(*[F.col(n).alias(f"{n}_") for n in names], F.coalesce("root", "node").alias("component_id"))
     same = [F.col(n) == F.col(f"{n}_") for n in names]
     return sketches.join(named, same).select("doc_id", F.when(F.col("component_id") != lowest, F.col("component_id")).alias("component_id"))
