@@ -131,9 +131,10 @@ class VantageTree:
             todo.append((far, q[d + radius > middle]))
 
 
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of n nodes, taken from batches of links (a, b)."""
-    root = np.arange(n)
+def _forest(known: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest, taken from batches of links (a, b). Nodes of one known group are joined from the start."""
+    _, first, inverse = np.unique(known, return_index=True, return_inverse=True)
+    root = first[inverse]
     kept_a, kept_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in pairs:
         while True:
@@ -156,24 +157,32 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.
     return np.concatenate(kept_a), np.concatenate(kept_b)
 
 
-def _chunk_edges(node: np.ndarray, word: np.ndarray, side: np.ndarray, radius: int):
+def _chunk_edges(node: np.ndarray, known: np.ndarray, word: np.ndarray, side: np.ndarray, radius: int):
     """Links of a spanning forest within a chunk (side 0), or between the rows of two chunks (sides 1 and 2)."""
+    if (known == known[0]).all():
+        return node[:0], node[:0]
     if side.any():
         a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
     else:
         a = b = np.arange(len(node))
-    x, y = _forest(len(node), ((a[i], b[j]) for i, j in VantageTree(word[b]).links(word[a], radius)))
+    x, y = _forest(known, ((a[i], b[j]) for i, j in VantageTree(word[b]).links(word[a], radius)))
     return node[x], node[y]
 
 
 def _small_edges(groups: list[dict], radius: int):
-    """All links of many small shards at once: rows at each distance in the list of rows."""
+    """The same for many small shards at once: rows at each distance in the list of rows."""
     node, word = (np.concatenate([g[n] for g in groups]) for n in ("node", "word"))
     owner = np.repeat(np.arange(len(groups)), [len(g["node"]) for g in groups])
-    for gap in range(1, max(len(g["node"]) for g in groups)):
-        i = np.flatnonzero((owner[gap:] == owner[:-gap]) & (np.bitwise_count(word[gap:] ^ word[:-gap]) <= radius))
-        if len(i):
-            yield node[i], node[i + gap]
+    known = np.unique(np.stack((owner, np.concatenate([g["known"] for g in groups]))), axis=1, return_inverse=True)[1].ravel()
+
+    def links():
+        for gap in range(1, max(len(g["node"]) for g in groups)):
+            i = np.flatnonzero((owner[gap:] == owner[:-gap]) & (known[gap:] != known[:-gap]) & (np.bitwise_count(word[gap:] ^ word[:-gap]) <= radius))
+            if len(i):
+                yield i, i + gap
+
+    x, y = _forest(known, links())
+    return node[x], node[y]
 
 
 def _often(keys: DataFrame) -> DataFrame:
@@ -197,10 +206,11 @@ def _often(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(step, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, shard_rows: int = 512, words: tuple[str, ...] = ("fp",)) -> DataFrame:
+def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, shard_rows: int = 512, words: tuple[str, ...] = ("fp",), known: str = "node") -> DataFrame:
     """Links (a, b), a > b, whose connected components are those of all links. nodes: node and words, distinct.
 
-    Two rows link when one of their words differs in at most radius bits. A shard is named by a 64-bit hash of its number and
+    Two rows link when one of their words differs in at most radius bits. Rows that agree in the column known are in one
+    group already, so no link between them is given. A shard is named by a 64-bit hash of its number and
     cell; should two shards share a name, the distance still decides about each pair.
     """
     spark = nodes.sparkSession
@@ -215,7 +225,9 @@ def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, sh
         for j, w in enumerate(words) for i, m in enumerate(signed)
     ]
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), rows * len(cells) // 2_000_000)
-    keyed = nodes.repartition(parts, "node").select("node", F.explode(F.array(*cells)).alias("k")).select("node", "k.key", "k.word")
+    same = [] if known == "node" else ["known"]
+    spread = nodes.repartition(parts, "node").select("node", F.col(known).alias("known"), F.explode(F.array(*cells)).alias("k"))
+    keyed = spread.select("node", *same, "k.key", "k.word")
     size = F.greatest(F.lit(shard_rows), F.least(F.lit(CHUNK_MOST), F.col("n") / 32))
     large = stash(_often(keyed.select("key")).where(F.col("n") > shard_rows).select(F.col("key").alias("large"), F.ceil(F.col("n") / size).cast("int").alias("chunks")), "large")
     few = large.count() <= LARGE_SHARDS
@@ -225,13 +237,13 @@ def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, sh
     low, high = F.least(F.col("chunk"), F.col("other")), F.greatest(F.col("chunk"), F.col("other"))
     # A shard of few rows keeps its key; each pair of chunks of a large one is a key of its own.
     dealt = met.select(
-        "node", "word", F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"),
+        "node", *same, "word", F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"),
         F.when((F.col("other") < 0) | (F.col("chunk") == F.col("other")), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
     )
     dealt = dealt.repartition(parts, "key").sortWithinPartitions("key")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "node", "word", "side")
+        names = ("key", "node", "word", "side", *same)
 
         def groups() -> Iterator[dict]:
             rest = None
@@ -239,6 +251,7 @@ def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, sh
                 if not batch.num_rows:
                     continue
                 cols = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names}
+                cols.setdefault("known", cols["node"])
                 cols["word"] = cols["word"].view(np.uint64)  # signed numbers would give the bits of absolute values
                 if rest is not None:
                     cols = {n: np.concatenate((rest[n], v)) for n, v in cols.items()}
@@ -258,12 +271,12 @@ def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, sh
                     held.append(g)
                     count += len(g["node"])
                     if count >= 1 << 15:
-                        yield from _small_edges(held, radius)
+                        yield _small_edges(held, radius)
                         held, count = [], 0
                     continue
-                yield _chunk_edges(g["node"], g["word"], g["side"], radius)
+                yield _chunk_edges(g["node"], g["known"], g["word"], g["side"], radius)
             if held:
-                yield from _small_edges(held, radius)
+                yield _small_edges(held, radius)
 
         for a, b in edges():
             if len(a):
@@ -339,12 +352,18 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, word
     sketches = stash(map_arrow(docs, step, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names), [id_col, text_col]), "sketches")
     lowest = -(2**63)
     nodes = stash(sketches.groupBy(*names).agg(F.min(F.coalesce(F.col("doc_id"), F.lit(lowest))).alias("node")), "nodes")
-    links = stash(hamming_edges(nodes, radius, words=names), "links")
-    ends = [nodes.select(F.col("node").alias(e), F.array(*names).alias(f"words_{e}")) for e in ("a", "b")]
     bits = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    links = links.join(ends[0], "a").join(ends[1], "b").where(bits <= total).select("a", "b")
-    roots = components(links)
-    named = nodes.join(roots, "node", "left").select(*[F.col(n).alias(f"{n}_") for n in names], F.coalesce("root", "node").alias("component_id"))
+    ends = [nodes.select(F.col("node").alias(e), F.array(*names).alias(f"words_{e}")) for e in ("a", "b")]
+    rows = nodes.count()
+    # One fingerprint after the other: links within a group that is known by then are never made again.
+    now, every = nodes.withColumn("known", F.col("node")), None
+    for name in names:
+        links = hamming_edges(now, radius, rows, words=(name,), known="known")
+        links = links.join(ends[0], "a").join(ends[1], "b").where(bits <= total).select("a", "b")
+        every = stash(links if every is None else every.union(links), "links")
+        roots = components(every)
+        now = stash(nodes.join(roots, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root"), "known")
+    named = now.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("known").alias("component_id"))
     same = [F.col(n) == F.col(f"{n}_") for n in names]
     return sketches.join(named, same).select("doc_id", F.when(F.col("component_id") != lowest, F.col("component_id")).alias("component_id"))
 
