@@ -355,10 +355,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, word
     bits = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     ends = [nodes.select(F.col("node").alias(e), F.array(*names).alias(f"words_{e}")) for e in ("a", "b")]
     rows = nodes.count()
-    # One fingerprint after the other: links within a group that is known by then are never made again.
+    # First one fingerprint, then the others: links within a group that is known by then are never made again.
     now, every = nodes.withColumn("known", F.col("node")), None
-    for name in names:
-        links = hamming_edges(now, radius, rows, words=(name,), known="known")
+    for some in filter(None, (names[:1], names[1:])):
+        links = hamming_edges(now, radius, rows, words=some, known="known")
         links = links.join(ends[0], "a").join(ends[1], "b").where(bits <= total).select("a", "b")
         every = stash(links if every is None else every.union(links), "links")
         roots = components(every)
