@@ -292,7 +292,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     not of nodes: nodes without an edge never enter.
     """
     now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    count = -1
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
@@ -301,15 +300,16 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         nxt = stash(small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
-        summary = nxt.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         unstash(now)
         now = nxt
-        if tuple(summary) == count:
+        # Done when every node on the left has one node on the right, and none is on both sides.
+        sides = now.select(F.col("a").alias("u"), F.col("b").alias("to")).union(now.select(F.col("b").alias("u"), F.lit(None).cast("bigint").alias("to")))
+        seen = sides.groupBy("u").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max(F.col("to").isNull()).alias("right"))
+        if seen.where(F.col("low").isNotNull() & ((F.col("low") < F.col("high")) | F.col("right"))).isEmpty():
             break
-        count = tuple(summary)
     else:
         raise RuntimeError("connected components did not converge")
-    return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def sketch_words(text: bytes, size: int, words: int) -> np.ndarray:
