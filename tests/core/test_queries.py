@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from sparkloom.plans import catalog  # noqa: F401  (registers its queries)
 from sparkloom.plans import queries as plan
 
 
