@@ -125,10 +125,10 @@ def file_suffix_join(spark, sf_dir):
     return anchors.file_suffix_matches(given, paths).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
 
 
-SCOPES = [{"module": "fr", "team": "web"}, {"project": "forum"}, {"company": "en"}, {"project": "crawl", "module": "de"}]
+SCOPES = [{"module": "fr", "team": "src1"}, {"project": "src7"}, {"company": "en"}, {"project": "src16", "module": "de"}]
 
 
-@query("""SELECT doc_id, greatest(0.0, CASE WHEN lang = 'fr' THEN 1.0 END, CASE WHEN source = 'web' THEN 0.3 END, CASE WHEN source = 'forum' THEN 0.6 END, CASE WHEN lang = 'en' THEN 0.3 END, CASE WHEN source = 'crawl' THEN 0.6 END, CASE WHEN lang = 'de' THEN 1.0 END)::DOUBLE AS scope FROM documents""")
+@query("""SELECT doc_id, greatest(0.0, CASE WHEN lang = 'fr' THEN 1.0 END, CASE WHEN source = 'src1' THEN 0.3 END, CASE WHEN source = 'src7' THEN 0.6 END, CASE WHEN lang = 'en' THEN 0.3 END, CASE WHEN source = 'src16' THEN 0.6 END, CASE WHEN lang = 'de' THEN 1.0 END)::DOUBLE AS scope FROM documents""")
 def scope_match(spark, sf_dir):
     levels = {"module": F.col("lang"), "project": F.col("source"), "team": F.col("source"), "company": F.col("lang")}
     return _table(spark, sf_dir, "documents").select("doc_id", anchors.scope_match(levels, SCOPES).alias("scope"))
