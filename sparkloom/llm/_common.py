@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that a vectorised step holds as 8-byte words at once.
 SLICE_BYTES = 1 << 20
+#: Column of the row key that numbered adds.
+ROW = "__row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a unique key of each row, ROW, written once so that it stays the same wherever it is read."""
+    return stash(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def unstash(*frames: DataFrame) -> None:
     """Delete stashed tables that no later step reads."""
     for df in frames:
