@@ -1,7 +1,7 @@
 """Line deduplication by a suffix array over line-ID sequences, built by distributed prefix doubling.
 
 Every line with a word gets an ID, a 64-bit hash of the line without outer white space; blank lines are no part of the
-sequence. A suffix is a position (document, place of the line). Doubling step k names the block of 2**k lines from a
+sequence. A suffix is a position (row, place of the line); rows are told apart by a key of their own, not by the document id. Doubling step k names the block of 2**k lines from a
 position by the names of its two halves, one equi-join on the position; positions whose name occurs once leave, as no
 other suffix shares that prefix. The names are the suffix array's ranks but for their order, which nothing here needs:
 positions of equal name at step k are the array's intervals with a longest common prefix of 2**k lines or more.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, ship, stash
+from ._common import ROW, map_arrow, numbered, ship, stash
 
 #: Words that a repeated run of lines has at least.
 MIN_WORDS = 10
@@ -47,24 +47,24 @@ def block_lengths(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.nda
 
 
 def line_rows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, at, id, forward, backward) of every line that has a word; a null document id counts as the smallest."""
-    names = ("doc", "at", "id", "forward", "backward")
-    kinds = (np.int64, np.int32, np.int64, np.int32, np.int32)
+    """(row, by, at, id, forward, backward) of every line that has a word; by is the document id, a null one counts as the smallest."""
+    names = ("row", "by", "at", "id", "forward", "backward")
+    kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             held: list[list[np.ndarray]] = [[] for _ in names]
             count = 0
-            keys = pc.fill_null(batch.column(0).cast(pa.int64()), _NULL_ID).to_pylist()
-            for key, text in zip(keys, batch.column(1)):
+            orders = pc.fill_null(batch.column(1).cast(pa.int64()), _NULL_ID).to_pylist()
+            for key, by, text in zip(batch.column(0).to_pylist(), orders, batch.column(2)):
                 lines = [x for x in map(str.strip, (text.as_py() or "").split("\n")) if x]
                 if not lines:
                     continue
                 n = len(lines)
                 forward, backward = block_lengths(np.fromiter((len(x.split()) for x in lines), np.int64, n), min_words)
                 ids = np.fromiter(map(digest, lines), np.uint64, n).view(np.int64)
-                for k, x in enumerate((np.full(n, key), np.arange(n), ids, forward, backward)):
+                for k, x in enumerate((np.full(n, key), np.full(n, by), np.arange(n), ids, forward, backward)):
                     held[k].append(x)
                 count += n
                 if count > 1 << 16:
@@ -73,7 +73,7 @@ def line_rows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Da
             if count:
                 yield {x: np.concatenate(v).astype(t) for x, v, t in zip(names, held, kinds)}
 
-    return map_arrow(docs, step, "doc bigint, at int, id bigint, forward int, backward int", [id_col, text_col])
+    return map_arrow(docs, step, "row bigint, by bigint, at int, id bigint, forward int, backward int", [ROW, id_col, text_col])
 
 
 def _repeated(rows: DataFrame, *by: str) -> DataFrame:
@@ -86,46 +86,47 @@ def _repeated(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, at, size): blocks of size lines from place at that have an earlier copy."""
+    """(row, at, size): blocks of size lines from place at that have an earlier copy. docs has a unique key ROW."""
     lines = stash(_repeated(line_rows(docs, min_words, id_col, text_col), "id"), "lines")
-    level = lines.select("doc", "at", F.col("id").alias("name"))
+    level = lines.select("row", "at", F.col("id").alias("name"))
     names = level.withColumn("k", F.lit(0))
     for k in range((min_words - 1).bit_length()):
         half = 1 << k
-        second = level.select(F.col("doc").alias("d"), (F.col("at") - half).alias("a"), F.col("name").alias("name2"))
-        joined = level.join(second, (F.col("doc") == F.col("d")) & (F.col("at") == F.col("a")))
-        level = stash(_repeated(joined.select("doc", "at", F.xxhash64("name", "name2").alias("name")), "name"), f"names{k}")
+        second = level.select(F.col("row").alias("d"), (F.col("at") - half).alias("a"), F.col("name").alias("name2"))
+        joined = level.join(second, (F.col("row") == F.col("d")) & (F.col("at") == F.col("a")))
+        level = stash(_repeated(joined.select("row", "at", F.xxhash64("name", "name2").alias("name")), "name"), f"names{k}")
         names = names.union(level.withColumn("k", F.lit(k + 1)))
 
     wanted = F.array_distinct(F.array(
         F.struct(F.col("at").alias("at"), F.col("forward").alias("size")),
         F.struct((F.col("at") - F.col("backward") + 1).alias("at"), F.col("backward").alias("size")),
     ))
-    blocks = lines.select("doc", F.explode(wanted).alias("b")).select("doc", "b.at", "b.size").where("size > 0").distinct()
+    blocks = lines.select("row", "by", F.explode(wanted).alias("b")).select("row", "by", "b.at", "b.size").where("size > 0").distinct()
     blocks = blocks.withColumn("k", F.floor(F.log2("size") + 1e-9).cast("int")).withColumn("at2", F.expr("at + size - cast(shiftleft(1, k) as int)"))
-    first = names.select(F.col("k").alias("k1"), F.col("doc").alias("d1"), F.col("at").alias("a1"), F.col("name").alias("name1"))
-    last = names.select(F.col("k").alias("k2"), F.col("doc").alias("d2"), F.col("at").alias("a2"), F.col("name").alias("name2"))
-    named = blocks.join(first, (F.col("k") == F.col("k1")) & (F.col("doc") == F.col("d1")) & (F.col("at") == F.col("a1")))
-    named = named.join(last, (F.col("k") == F.col("k2")) & (F.col("doc") == F.col("d2")) & (F.col("at2") == F.col("a2")))
-    named = stash(named.select("doc", "at", "size", F.xxhash64("size", "name1", "name2").alias("interval")), "blocks")
-    heads = named.groupBy("interval").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("first")).where("n > 1")
+    first = names.select(F.col("k").alias("k1"), F.col("row").alias("d1"), F.col("at").alias("a1"), F.col("name").alias("name1"))
+    last = names.select(F.col("k").alias("k2"), F.col("row").alias("d2"), F.col("at").alias("a2"), F.col("name").alias("name2"))
+    named = blocks.join(first, (F.col("k") == F.col("k1")) & (F.col("row") == F.col("d1")) & (F.col("at") == F.col("a1")))
+    named = named.join(last, (F.col("k") == F.col("k2")) & (F.col("row") == F.col("d2")) & (F.col("at2") == F.col("a2")))
+    named = stash(named.select("row", "by", "at", "size", F.xxhash64("size", "name1", "name2").alias("interval")), "blocks")
+    heads = named.groupBy("interval").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("by", "row", "at")).alias("first")).where("n > 1")
     heads = heads.select(F.col("interval").alias("i"), "first")
-    return named.join(heads, F.col("interval") == F.col("i")).where(F.struct("doc", "at") != F.col("first")).select("doc", "at", "size")
+    return named.join(heads, F.col("interval") == F.col("i")).where(F.struct("by", "row", "at") != F.col("first")).select("row", "at", "size")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, text without repeated runs, plus lines_removed; every row stays.
 
     Defined cases: null text stays null; a text of which all lines go becomes empty; the first copy, by document id
-    and place, stays, so of repeated rows one keeps its text (rows that share an id count as one sequence each, ties go
-    to neither: both keep it); null ids count as smallest; an empty table gives an empty result. A column of docs named
+    and place, stays, so of repeated rows one keeps its text; every row is a document of its own, whatever its id; null
+    ids count as smallest; an empty table gives an empty result. A column of docs named
     lines_removed is replaced.
     """
     ship(docs.sparkSession)
+    docs = numbered(docs.drop("lines_removed"))
     found = repeated_blocks(docs, min_words, id_col, text_col)
-    per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("at", "size")).alias("__cut")).withColumnRenamed("doc", "__doc")
-    docs = docs.drop("lines_removed")
-    joined = docs.join(per_doc, F.coalesce(F.col(id_col), F.lit(_NULL_ID)) == F.col("__doc"), "left").drop("__doc")
+    per_doc = found.groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("__cut")).withColumnRenamed("row", "__cut_row")
+    joined = docs.join(per_doc, F.col(ROW) == F.col("__cut_row"), "left").drop(ROW, "__cut_row")
+    docs = docs.drop(ROW)
     names = docs.columns
     where = names.index(text_col)
 

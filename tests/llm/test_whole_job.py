@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from sparkloom.llm import simhash
+from sparkloom.llm import linededup, simhash
 
 
 def _words(rng, n: int) -> list[str]:
@@ -33,3 +33,11 @@ def test_near_dedup_finds_pairs_at_the_bound(spark):
     got = _groups(spark, [t for _ in range(300) for t in _family(rng, 2, 0.8)])
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(300)) >= 299
     assert all(v in (k, k - k % 2) for k, v in got.items())
+
+
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    rows = [(3, a), (5, f"{a}\nrest"), (5, f"{b}\nends"), (None, c), (None, f"{d}\n{c}"), (None, f"x\ny\n{b} z"), (9, f"{c}\n{d}")]
+    docs = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(rows)], "doc_id long, n int, text string")
+    got = {r["n"]: (r["text"], r["lines_removed"]) for r in linededup.dedup_lines(docs.coalesce(1)).collect()}
+    assert got == {0: (a, 0), 1: ("rest", 1), 2: (f"{b}\nends", 0), 3: (c, 0), 4: (d, 1), 5: (f"x\ny\n{b} z", 0), 6: ("", 2)}
