@@ -41,3 +41,15 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark):
     docs = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(rows)], "doc_id long, n int, text string")
     got = {r["n"]: (r["text"], r["lines_removed"]) for r in linededup.dedup_lines(docs.coalesce(1)).collect()}
     assert got == {0: (a, 0), 1: ("rest", 1), 2: (f"{b}\nends", 0), 3: (c, 0), 4: (d, 1), 5: (f"x\ny\n{b} z", 0), 6: ("", 2)}
+
+
+def test_stages_judge_rows_without_an_id_by_their_text(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    item, *clean = (" ".join(_words(rng, 40)) for _ in range(6))
+    rows = [(None, item), (None, clean[0]), (None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (7, item), (8, clean[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r["text"] for r in near.collect()) == sorted([item, *clean])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted(r["text"] for r in left.collect()) == sorted([clean[0], *clean])
