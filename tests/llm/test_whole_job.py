@@ -53,3 +53,11 @@ def test_stages_judge_rows_without_an_id_by_their_text(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
     assert sorted(r["text"] for r in left.collect()) == sorted([clean[0], *clean])
+
+
+def test_near_dedup_keeps_true_pairs_within_a_dense_family(spark):
+    rng = np.random.default_rng(4)
+    family = _family(rng, 300, 0.6)
+    near = [t.rsplit(" ", 10)[0] + " " + " ".join(_words(rng, 10)) for t in family[:50]]  # 310 of 330 shingles are shared
+    got = _groups(spark, family + near)
+    assert all(got[300 + i] == got[i] == i for i in range(50)) and all(got[i] == i for i in range(50, 300))
