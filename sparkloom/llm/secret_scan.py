@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty for what they miss.
 
 Base kinds are three patterns. Beyond them every long string in a sensitive context (a word like password, token or
-credential shortly before it) is a candidate. Its novelty is the marginal bytes that zstandard, primed with a
+credential in its line, the line before or the line after, a key in front of '=' included) is a candidate. Its novelty is the marginal bytes that zstandard, primed with a
 dictionary of identifiers and common words, needs for the candidate after the text around it: ordinary words and
 identifiers cost little, random strings nearly their entropy. Candidates above NOVEL bytes a character that mix
 character classes are reported as kind `novel`.
@@ -9,6 +9,7 @@ character classes are reported as kind `novel`.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -23,10 +24,11 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: '=' and ':' end a candidate, but for the padding of base64; right after '=' it may be shorter.
+CANDIDATE = re.compile(r"(?:(?<==)[A-Za-z0-9+/_.~-]{8,}|[A-Za-z0-9+/_.~-]{16,})(?:={1,2}(?![A-Za-z0-9+/_=.~-]))?")
 SENSITIVE = re.compile(r"(?i:passw|pwd|secret|token|api[_ -]?key|credential|bearer|authorization|private[_ -]?key|access[_ -]?key|signature)", re.ASCII)
 _HINTS = ("passw", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "signature")
-#: Code points before a candidate in which a sensitive word counts.
+#: Code points before a candidate that prime the compressor with it.
 CONTEXT = 48
 NOVEL = 0.55
 #: What identifiers and prose are made of; primes the compressor.
@@ -68,13 +70,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, bar: float = NOVEL) -> list[tuple[int, int, int]]:
     """Incompressible candidates in a sensitive context that touch no base span."""
     low = text.lower()
-    if not any(h in low for h in _HINTS) or not SENSITIVE.search(text):
+    if not any(h in low for h in _HINTS):
         return []
+    words = [(m.start(), m.end()) for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    starts = [s for s, _ in words]
     found = []
     for m in CANDIDATE.finditer(text):
         value = m[0]
         context = text[max(0, m.start() - CONTEXT) : m.start()]
-        if not SENSITIVE.search(context) or any(s < m.end() and m.start() < e for s, _, e in base):
+        line = text.rfind("\n", 0, m.start())
+        first = text.rfind("\n", 0, line) + 1 if line > 0 else 0
+        last = text.find("\n", m.end())
+        last = text.find("\n", last + 1) if last >= 0 else -1
+        last = len(text) if last < 0 else last
+        near = words[bisect.bisect_left(starts, first) : bisect.bisect_left(starts, last)]
+        # A sensitive word within the candidate itself is no context.
+        if all(m.start() <= s and e <= m.end() for s, e in near) or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
         classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
         if classes >= 2 and any(c.isdigit() for c in value) and novelty(context, value) >= bar:

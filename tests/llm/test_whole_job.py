@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from sparkloom.llm import linededup, simhash
+from sparkloom.llm import linededup, secret_scan, simhash
 
 
 def _words(rng, n: int) -> list[str]:
@@ -61,3 +61,14 @@ def test_near_dedup_keeps_true_pairs_within_a_dense_family(spark):
     near = [t.rsplit(" ", 10)[0] + " " + " ".join(_words(rng, 10)) for t in family[:50]]  # 310 of 330 shingles are shared
     got = _groups(spark, family + near)
     assert all(got[300 + i] == got[i] == i for i in range(50)) and all(got[i] == i for i in range(50, 300))
+
+
+def test_secret_scan_reads_keys_and_lines_around():
+    secret = "qX9vT2mK7pLw4ZcR8nBd"
+    texts = [f"DB_PWD={secret}", f"AWS_ACCESS_KEY={secret}", f"credential={secret}", f"client_secret_value={secret}", f"{secret} is the credential",
+             f"the credential\n{secret}\n", f"{secret}\nis the credential", "the credential" + " of ours" * 12 + f" {secret}", f"pwd:{secret}=="]
+    for text in texts:
+        found = secret_scan.novel_spans(text, secret_scan.base_spans(text), secret_scan.Novelty())
+        assert [text[s:e].rstrip("=") for s, _, e in found] == [secret], text
+    assert secret_scan.novel_spans(f"{secret}\n\n\nthe credential", [], secret_scan.Novelty()) == []
+    assert [x[0] for x in secret_scan.novel_spans("DB_PWD=qX9vT2mK7p", [], secret_scan.Novelty())] == [7]
