@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from ._common import map_arrow, ship, text_slices, utf8_buffers
+from ._common import map_arrow, ship, stash, text_slices, utf8_buffers
 
 IDF_LOW, IDF_HIGH = 2.0, 7.6
 LEVELS = (32, 128, 512, 2048)
@@ -123,70 +123,92 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(none, 1.0, np.where(n == 0, total, share))
 
 
-def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, guest, id, text) dealt by ranges of id: each part's rows in order, then guests: the rows that come next."""
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 2
-    ids = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("k"))
-    cuts = sorted(set(ids.approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts)))
-    bucket = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(int(c)) for c in cuts])
-        bucket = F.size(F.filter(bounds, lambda c: c < F.col("k")))
-    heads = {r["part"]: r["head"] for r in ids.select(bucket.alias("part"), "k").groupBy("part").agg(F.min("k").alias("head")).collect()}
-    order = sorted(heads)
-    # The head of each part is the guest of the part before; the first of all follows the last.
-    host = {heads[p]: order[i - 1] for i, p in enumerate(order)}
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("k"))
-    rows = rows.withColumn("part", bucket).withColumn("guest", F.lit(False))
-    if host:
-        of = F.create_map(*[F.lit(x) for kv in host.items() for x in kv])
-        guests = F.try_element_at(of, F.col("k"))
-        places = F.when(guests.isNotNull(), F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.struct(guests.alias("part"), F.lit(True).alias("guest"))))
-        places = places.otherwise(F.array(F.struct(F.col("part"), F.lit(False).alias("guest"))))
-        rows = rows.drop("guest").withColumn("p", F.explode(places)).select("doc_id", "t", "k", "p.part", "p.guest")
-    return rows.repartition(max(parts, len(order)), "part").sortWithinPartitions("part", "guest", "k", F.xxhash64("t"))
+_RESULT = "doc_id bigint, n_chars bigint, edited_sha256 binary, own binary, edited binary, near_edited double, near_next double"
+_EDGE = "k bigint, h bigint, u bigint, tail int, text string"
+
+
+def _judged(rows: list[tuple], terms: np.ndarray) -> dict:
+    """Result columns of rows (doc_id, text, fingerprint, text of the next, fingerprint of the next)."""
+    edited = [t[: len(t) - len(t) // 4] + nxt[: len(t) // 4] for _, t, _, nxt, _ in rows]
+    a, c = (np.array([r[i] for r in rows], np.uint16).reshape(len(rows), len(LEVELS), SUBSETS) for i in (2, 4))
+    b = subset_hashes(pa.array(edited, pa.large_string()), terms)
+    name = lambda x: x.astype(">u2").tobytes()
+    return {
+        "doc_id": pa.array([r[0] for r in rows], pa.int64()), "n_chars": pa.array([len(r[1]) for r in rows], pa.int64()),
+        "edited_sha256": pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest() for e in edited], pa.binary()),
+        "own": pa.array([name(x) for x in a], pa.binary()), "edited": pa.array([name(x) for x in b], pa.binary()),
+        "near_edited": likeness(a, b), "near_next": likeness(a, c),
+    }
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; see the module.
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many of the next document in
-    ascending doc_id (after the last: the first). Defined cases: null and wordless texts have the fingerprint of no terms; rows with
+    ascending doc_id (after the last: the first). Texts move once, to ranges of (id, hash of the text, row), so that an
+    id or text of many rows fills several ranges; within a range each row meets its next one. Only the first and last
+    row of each range are kept with their texts and meet those of the neighbouring ranges in a second, small step.
+
+    Defined cases: null and wordless texts have the fingerprint of no terms; rows with
     one id follow each other by a hash of their text; a null id comes first; a lone row is its own next; an empty table
     gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(lexicon(docs, text_col))
-    dealt = _neighbours(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("t"))
+    rows = rows.select("doc_id", "t", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("u"))
+    dealt = rows.repartitionByRange("k", "h", "u").sortWithinPartitions("k", "h", "u")
+    ends = ("k", "h", "u", "tail", "text")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         terms = shared.value
-        held = None  # the last row, which waits for its next: (part, id, text, fingerprint)
+        held = None  # the last row, which waits for its next: (doc_id, text, fingerprint), then its key
         for batch in batches:
             for part in text_slices(batch, "t", 1 << 19):
-                texts = pc.fill_null(part.column(1), "")
-                own = subset_hashes(texts, terms)
-                text, key, group, guest = texts.to_pylist(), part.column(0).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist()
-                ready = []
-                for i in range(len(text)):
-                    if held is not None and held[0] == group[i]:
-                        ready.append((*held[1:], text[i], own[i]))
-                        held = None
-                    held = None if guest[i] else (group[i], key[i], text[i], own[i])
+                own = subset_hashes(part.column(1), terms)
+                key, text = part.column(0).to_pylist(), part.column(1).to_pylist()
+                order = list(zip(*(part.column(i).to_pylist() for i in (2, 3, 4))))
+                ready = [(key[i - 1], text[i - 1], own[i - 1], text[i], own[i]) for i in range(1, len(text))]
+                if held is None:
+                    yield _mixed([], [(*order[0], 0, text[0])], terms, key[0])
+                else:
+                    ready.insert(0, (*held[0], text[0], own[0]))
                 if ready:
-                    yield _rows(ready, terms)
-
-    def _rows(ready: list[tuple], terms: np.ndarray) -> dict:
-        edited = [t[: len(t) - len(t) // 4] + nxt[: len(t) // 4] for _, t, _, nxt, _ in ready]
-        a, c = np.array([r[2] for r in ready]), np.array([r[4] for r in ready])
-        b = subset_hashes(pa.array(edited, pa.large_string()), terms)
-        name = lambda x: x.astype(">u2").tobytes().hex()
-        return {
-            "doc_id": pa.array([r[0] for r in ready], pa.int64()), "n_chars": pa.array([len(r[1]) for r in ready], pa.int64()),
-            "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited],
-            "fingerprint": [name(x) for x in a], "edited_fingerprint": [name(x) for x in b], "near_edited": likeness(a, b), "near_next": likeness(a, c),
-        }
-
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_arrow(dealt, step, schema, ["doc_id", "t", "k", "part", "guest"])
+                    yield _mixed(ready, [], terms)
+                held = (key[-1], text[-1], own[-1]), order[-1]
+        if held is not None:
+            yield _mixed([], [(*held[1], 1, held[0][1])], terms, held[0][0])
+
+    def _mixed(ready: list[tuple], edges: list[tuple], terms: np.ndarray, key=None) -> dict:
+        """Rows of the result, or one edge, with nulls in the other columns."""
+        n = len(ready) or 1
+        if ready:
+            out = _judged(ready, terms)
+            return out | {x: pa.nulls(n, pa.string() if x == "text" else pa.int32() if x == "tail" else pa.int64()) for x in ends}
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+        out = dict(zip((f.split()[0] for f in _RESULT.split(", ")), (pa.nulls(1, t) for t in kinds)))
+        out["doc_id"] = pa.array([key], pa.int64())
+        return out | dict(zip(ends, (pa.array([x], t) for x, t in zip(edges[0], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())))))
+
+    found = stash(map_arrow(dealt, step, f"{_RESULT}, {_EDGE}", ["doc_id", "t", "k", "h", "u"]), "imatch")
+    # Two rows for each range: each tail is followed by the head of the next range, the last one by the very first head.
+    edges = found.where("tail is not null").select("doc_id", "k", "h", "u", "tail", "text")
+    order = Window.orderBy("k", "h", "u", "tail")
+    follows = edges.select("k", "h", "u", "tail").withColumn("v", F.coalesce(F.lead("u").over(order), F.first("u").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    pairs = edges.where("tail = 1").join(follows.where("tail = 1").select(F.col("u").alias("w"), "v"), F.col("u") == F.col("w"))
+    pairs = pairs.join(edges.where("tail = 0").select(F.col("u").alias("x"), F.col("text").alias("next")), F.col("v") == F.col("x"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        terms = shared.value
+        for batch in batches:
+            for part in text_slices(batch, "text", 1 << 19):
+                own, after = (subset_hashes(part.column(i), terms) for i in (1, 2))
+                yield _judged(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), own, part.column(2).to_pylist(), after)), terms)
+
+    met = map_arrow(pairs, meet, _RESULT, ["doc_id", "text", "next"])
+    every = found.where("tail is null").select(*met.columns).union(met)
+    return every.select(
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.lower(F.hex("own")).alias("fingerprint"),
+        F.lower(F.hex("edited")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )

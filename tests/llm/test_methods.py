@@ -200,6 +200,66 @@ def test_op1_edits_and_likeness(spark, sf, texts):
         assert by_text.setdefault(t, got.loc[k, "fingerprint"]) == got.loc[k, "fingerprint"]
 
 
+def test_op1_against_sets(spark):
+    """Fingerprints from sets of terms and their document frequencies, written again without the operator's arrays."""
+    import math
+
+    rng = random.Random(11)
+    vocabulary = [f"t{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 160))) for _ in range(120)] + ["t1", "", "T1 t2, t3!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bags = [set(re.findall("[a-z0-9]+", t.lower())) for t in texts]
+    df = {}
+    for b in bags:
+        for t in b:
+            df[t] = df.get(t, 0) + 1
+    inside = {t for t, n in df.items() if imatch.IDF_LOW <= math.log(len(texts) / n) <= imatch.IDF_HIGH}
+    terms = imatch.lexicon(docs)
+    code = {t: int(imatch.distinct_terms(pa.array([t], pa.large_string()))[0]) for t in df}
+    assert sorted(code[t] for t in inside) == terms.tolist()
+    M = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+        return x ^ x >> 31
+
+    got = {r["doc_id"]: r for r in imatch.edited_fingerprints(docs).collect()}
+    prints = {}
+    for i, bag in enumerate(bags):
+        kept = bag & inside if len(bag & inside) >= imatch.FEW else bag
+        cells = []
+        for k, parts in enumerate(imatch.LEVELS):
+            lots = [mix(code[t] ^ 0x1000000000000000 * (k + 1)) for t in kept]
+            for s in range(imatch.SUBSETS):
+                own = [mix(x) for x in lots if x % parts == s]
+                cells.append((mix(sum(own) & M) >> 48 or 1) if own else 0)
+        prints[i] = cells
+        assert got[i]["fingerprint"] == "".join(f"{c:04x}" for c in cells)
+    for i in range(len(texts)):
+        a, b = prints[i], prints[(i + 1) % len(texts)]
+        best = None
+        for k in range(4):
+            x, y = a[32 * k : 32 * k + 32], b[32 * k : 32 * k + 32]
+            either, same = sum(p or q for p, q in zip(map(bool, x), map(bool, y))), sum(p == q != 0 for p, q in zip(x, y))
+            if either <= 0.7 * 32 or k == 3:
+                if either < 4 and k:
+                    x, y = a[32 * k - 32 : 32 * k], b[32 * k - 32 : 32 * k]
+                    either, same = sum(p or q for p, q in zip(map(bool, x), map(bool, y))), sum(p == q != 0 for p, q in zip(x, y))
+                best = same, either
+                break
+        whole = sum(p or q for p, q in zip(map(bool, a), map(bool, b)))
+        want = 1.0 if not whole else best[0] / best[1] if best[1] else sum(p == q != 0 for p, q in zip(a, b)) / whole
+        assert abs(got[i]["near_next"] - want) < 1e-9
+
+
+def test_op1_one_id_fills_several_ranges(spark):
+    rows = [(None, f"text {i} of many") for i in range(300)] + [(i, f"other {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = imatch.edited_fingerprints(docs).toPandas()
+    assert len(got) == 350 and got["doc_id"].isna().sum() == 300
+
+
 def test_op2_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = queries.op2_langid(spark, sf).toPandas().set_index("doc_id")
