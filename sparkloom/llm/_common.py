@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,9 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this process only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one of this process, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         found = tempfile.mkdtemp(prefix="sparkloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -71,6 +75,35 @@ def unstash(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of one key that make it a frequent one, at least.
+OFTEN = 1000
+#: Frequent keys are at most this many, as each holds more than this part of all rows.
+FREQUENT = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n_col: str) -> DataFrame:
+    """Inner join by keys, which are unique in right; right's other columns come with the prefix ``__right_``.
+
+    n_col of right says how many rows of left have the key. Keys of more than OFTEN rows and of more than the FREQUENT-th part of
+    all rows are so few that they are broadcast, so their rows stay where they are; only the other keys are shuffled.
+    Both sides should be written tables, as left may be read twice.
+    """
+    other = [F.col(c).alias(f"__right_{c}") for c in right.columns if c not in keys]
+    right = right.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *other)
+    n = F.col(f"__right_{n_col}")
+    rows, most = right.agg(F.sum(n), F.max(n)).first()
+    bar = max(OFTEN, (rows or 0) // FREQUENT)
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__key_{k}"))
+    drop = [f"__key_{k}" for k in keys]
+    if (most or 0) <= bar:
+        return left.join(right, same).drop(*drop)
+    often = F.broadcast(right.where(n > bar))
+    few = left.join(often.select(*drop), same, "left_anti").join(right.where(n <= bar), same)
+    return left.join(often, same).drop(*drop).unionByName(few.drop(*drop))
+
+
 def map_arrow(df: DataFrame, step: Callable, schema: str, columns: list[str]) -> DataFrame:
     """mapInArrow of step(iterator of batches of the given columns) -> iterator of dicts of columns, cast to schema."""
     ship(df.sparkSession)

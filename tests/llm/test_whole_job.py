@@ -72,3 +72,37 @@ def test_secret_scan_reads_keys_and_lines_around():
         assert [text[s:e].rstrip("=") for s, _, e in found] == [secret], text
     assert secret_scan.novel_spans(f"{secret}\n\n\nthe credential", [], secret_scan.Novelty()) == []
     assert [x[0] for x in secret_scan.novel_spans("DB_PWD=qX9vT2mK7p", [], secret_scan.Novelty())] == [7]
+
+
+def test_line_dedup_rows_of_one_id_do_not_multiply(spark):
+    lines = [[" ".join(f"{x}{i}{j}" for j in range(3)) for i in range(30)] for x in "abcd"]
+    rows = [(1, lines[0])] * 3 + [(None, lines[1])] * 3 + [(2, lines[2] + lines[0][4:20]), (3, lines[3] + lines[2][1:9] + lines[3][:2])]
+    docs = spark.createDataFrame([(k, i, "\n".join(x)) for i, (k, x) in enumerate(rows)], "doc_id long, n int, text string")
+    got = {r["n"]: r["lines_removed"] for r in linededup.dedup_lines(docs.coalesce(1)).collect()}
+    assert got == {0: 0, 1: 30, 2: 30, 3: 0, 4: 30, 5: 30, 6: 16, 7: 8}
+
+
+def test_suffix_levels_are_a_suffix_array(spark):
+    rng = np.random.default_rng(8)
+    rows = [[int(x) for x in rng.integers(0, 3, rng.integers(1, 40))] for _ in range(12)] + [[7, 8, 9, 7, 8, 9, 7, 8, 9, 7]]
+    docs = spark.createDataFrame([(r, r, a, x) for r, xs in enumerate(rows) for a, x in enumerate(xs)], "row long, by long, at int, id long")
+    depth = 0
+    for size, level in linededup.suffix_levels(docs):
+        blocks = {(r, a): tuple(xs[a : a + size]) for r, xs in enumerate(rows) for a in range(len(xs) - size + 1)}
+        members = {}
+        for place, block in blocks.items():
+            members.setdefault(block, []).append(place)
+        got = {(r["row"], r["at"]): (r["rank"], r["later"]) for r in level.collect()}
+        assert set(got) == {p for v in members.values() if len(v) > 1 for p in v}
+        ranks = {}
+        for p, (rank, later) in got.items():
+            assert ranks.setdefault(rank, blocks[p]) == blocks[p] and later == (p != min(members[blocks[p]]))
+        assert [ranks[r] for r in sorted(ranks)] == sorted(set(ranks.values()))
+        depth = size
+    assert depth * 2 > max(size for size in range(1, 40) if any(len(set(v)) > 1 for v in [[(r, a) for r, xs in enumerate(rows) for a in range(len(xs) - size + 1) if xs[a : a + size] == b] for b in [ys[c : c + size] for ys in rows for c in range(len(ys) - size + 1)]]))
+
+
+def test_frequent_lines_are_joined_where_they_are(spark):
+    docs = spark.createDataFrame([(i, f"own {i} first\nthe common line that many documents of all sources carry around\nown {i} last") for i in range(1500)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert sum("common" in t for t in got.values()) == 1 and "common" in got[0] and all(f"own {i} first" in t and f"own {i} last" in t for i, t in got.items())
