@@ -1,16 +1,18 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on islands.
 
 Documents become token ids plus an end id; only longer ones than a sequence are cut, the remainder coming first. Whole
-sequences are settled at once. The rest is dealt to islands of about ISLAND_ROWS pieces. On each island demes of
-solutions evolve: crossover injects whole well-filled bins of one parent into the other, removes the bins that hold a
-duplicate, and best-fits the displaced documents, longest first; mutation dissolves poorly filled bins; demes pass their elite on
-around a ring. Then bins that are still poorly filled dissolve and their documents migrate to other islands, which
-evolve in the next round. Rows of an island are bounded whatever the table's size, and only ids and lengths are moved.
+sequences are settled at once. The rest is dealt to blocks of about BLOCK_ROWS pieces. Each block is evolved by ISLANDS tasks, each
+with a population of its own: crossover injects whole well-filled bins of one parent into the other, removes the bins that
+hold a duplicate, and best-fits the displaced documents, longest first; mutation dissolves poorly filled bins. Between
+epochs the best solution of each island moves on to the next island of its block, around a ring. Then the best island's bins
+that are filled well settle; the others dissolve and their documents join other blocks in the next round. Rows of a block are
+bounded whatever the table's size, and only ids and lengths are moved.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import math
 import random
 import zlib
@@ -21,14 +23,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, ship, stash
 
 CAPACITY = 2048
 END_ID = 0
-ISLAND_ROWS = 4096
+BLOCK_ROWS = 4096
+#: Tasks that evolve each block, and how often they run; their elites migrate between the runs.
+ISLANDS, EPOCHS = 3, 2
+MEMBERS, GENERATIONS = 4, 8
 #: Bins filled less than this dissolve between rounds.
 SETTLED = 0.995
 ROUNDS = 3
@@ -44,13 +49,17 @@ class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes; ids of single words are remembered.
 
     A byte-level BPE never joins across a single space or newline between two other characters but for the space that
-    leads a word, so such texts are put together from their words; others are encoded whole. Strings of special
-    tokens in a text are ordinary text.
+    leads a word, so such texts are put together from their words; others are encoded whole. Texts with the string of a
+    special token go through the tokenizer's own file, which gives it one id.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, whole_path: str):
         import tiktoken
 
+        with open(whole_path, encoding="utf-8") as f:
+            self.special = [x["content"] for x in json.load(f).get("added_tokens") or ()]
+        self.whole_path, self.whole = whole_path, None
+
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -60,9 +69,18 @@ class Encoder:
     def _bytes(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
 
+    def _by_file(self, text: str) -> bytes:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.whole_path)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.special):
+            return self._by_file(text)
         if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return self._bytes(text)
         if len(self.first) + len(self.later) > REMEMBERED:
@@ -97,11 +115,11 @@ class _Words(dict):
         return out
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, whole_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, doc_id, piece, start, length, ids_crc32) of every piece; uid is unique. Null text counts as empty."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = Encoder(ranks_path, pattern)
+        encoder = Encoder(ranks_path, pattern, whole_path)
         end = np.array([end_id], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -212,82 +230,98 @@ def mutate(solution: Solution, rng: random.Random) -> None:
     solution.place_all(loose)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, demes: int = 2, members: int = 3, generations: int = 6) -> list[list[int]]:
-    """Bins of item indexes. Deterministic. Stops at the lower bound on the number of bins."""
+def evolve(sizes: list[int], capacity: int, seed: int, given: tuple = (), members: int = MEMBERS, generations: int = GENERATIONS) -> Solution:
+    """The best solution of a population after the given number of generations. Deterministic. given: bins of solutions that join at the start."""
     rng = random.Random(seed)
-    least = math.ceil(sum(sizes) / capacity)
-    everyone = []
-    for d in range(demes):
-        deme = []
-        for m in range(members):
-            new = Solution(sizes, capacity)
-            order = sorted(range(len(sizes)), key=(lambda i: -sizes[i]) if not d and not m else (lambda i: -sizes[i] * rng.uniform(0.8, 1)))
-            for i in order:
-                new.place(i)
-            deme.append(new)
-            if len(new.bins) <= least:
-                return list(new.bins.values())
-        everyone.append(deme)
-    best = max((s for deme in everyone for s in deme), key=Solution.fitness)
-    for generation in range(generations):
-        if len(best.bins) <= least:
-            break
-        for deme in everyone:
-            deme.sort(key=Solution.fitness, reverse=True)
-            child = crossover(deme[0], deme[rng.randrange(1, len(deme))], rng)
-            mutate(child, rng)
-            if child.fitness() > deme[-1].fitness():
-                deme[-1] = child
-        if generation % 2:
-            elite = [max(deme, key=Solution.fitness) for deme in everyone]
-            for d, deme in enumerate(everyone):
-                deme.sort(key=Solution.fitness, reverse=True)
-                deme[-1] = elite[d - 1]
-        best = max((s for deme in everyone for s in deme), key=Solution.fitness)
-    return list(best.bins.values())
-
-
-def pack(found: DataFrame, capacity: int = CAPACITY, island_rows: int = ISLAND_ROWS, rounds: int = ROUNDS) -> DataFrame:
+    population = []
+    for bins in given:
+        new = Solution(sizes, capacity)
+        for items in bins:
+            new.add_bin(list(items))
+        population.append(new)
+    while len(population) < members:
+        new = Solution(sizes, capacity)
+        if population:
+            order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(0.8, 1))
+        else:
+            order = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
+        for i in order:
+            new.place(i)
+        population.append(new)
+    for _ in range(generations):
+        population.sort(key=Solution.fitness, reverse=True)
+        child = crossover(population[0], population[rng.randrange(1, len(population))], rng)
+        if rng.random() < 0.5:
+            child = crossover(child, population[rng.randrange(len(population))], rng)
+        mutate(child, rng)
+        if child.fitness() > population[-1].fitness():
+            population[-1] = child
+    return max(population, key=Solution.fitness)
+
+
+def _bins(labels: np.ndarray) -> list[list[int]]:
+    order = np.argsort(labels, kind="stable")
+    cuts = np.flatnonzero(np.diff(labels[order])) + 1
+    return [x.tolist() for x in np.split(order, cuts)]
+
+
+def _evolved(rows: pd.DataFrame, capacity: int, epoch: int, given: tuple[str, ...]) -> pd.DataFrame:
+    """rows of one island (uid, length, block, island, and the bins of given solutions) with their bin and the island's cost."""
+    rows = rows.sort_values("uid", ignore_index=True)
+    seed = int(rows["block"].iat[0]) * 1009 + int(rows["island"].iat[0]) * 31 + epoch
+    best = evolve(rows["length"].tolist(), capacity, seed, tuple(_bins(rows[g].to_numpy()) for g in given))
+    bins, fill = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int64)
+    for b, items in enumerate(best.bins.values()):
+        bins[items] = b
+        fill[items] = sum(best.sizes[i] for i in items)
+    fewest, squares = best.fitness()
+    return pd.DataFrame({
+        "uid": rows["uid"], "length": rows["length"], "block": rows["block"], "island": rows["island"], "bin": bins, "fill": fill,
+        "cost": -fewest - squares / (1 - fewest),
+    })
+
+
+_EVOLVED = "uid bigint, length bigint, block bigint, island int, bin int, fill bigint, cost double"
+
+
+def evolve_blocks(loose: DataFrame, capacity: int, blocks: int, turn: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """(uid, length, block, bin, fill) of the best island of each block after all epochs. loose: uid, length."""
+    dealt = loose.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(blocks)).cast("bigint").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+    given: tuple[str, ...] = ()
+    for epoch in range(epochs):
+        step = (lambda e, g: lambda rows: _evolved(rows, capacity, e, g))(turn * epochs + epoch, given)
+        got = stash(dealt.groupBy("block", "island").applyInPandas(step, _EVOLVED), f"epoch{epoch}")
+        # The elite of each island migrates to the next one.
+        guest = got.select(F.col("uid").alias("u"), F.pmod(F.col("island") + 1, F.lit(islands)).alias("i"), F.col("bin").alias("guest"))
+        dealt = got.select("uid", "length", "block", "island", F.col("bin").alias("own")).join(guest, (F.col("uid") == F.col("u")) & (F.col("island") == F.col("i"))).drop("u", "i")
+        given = ("own", "guest")
+    best = got.groupBy("block").agg(F.min(F.struct("cost", "island")).alias("best")).select(F.col("block").alias("b"), F.col("best.island").alias("i"))
+    return got.join(best, (F.col("block") == F.col("b")) & (F.col("island") == F.col("i"))).select("uid", "length", "block", "bin", "fill")
+
+
+def pack(found: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """found (as of pieces, read from a written table) plus sequence_id and offset."""
     names = found.columns
     whole = found.where(F.col("length") == capacity).select(*names, F.col("uid").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    schema = ", ".join(f"{n} {t}" for n, t in found.dtypes) + ", sequence_id bigint, offset bigint, settled boolean"
-    loose, done = found.where(F.col("length") != capacity), whole
-
-    def island_step(last: bool):
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("uid", ignore_index=True)
-            sizes = rows["length"].tolist()
-            uid = rows["uid"].tolist()
-            sequence, offset, settled = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
-            for items in evolve(sizes, capacity, len(rows)):
-                items.sort()
-                at = 0
-                full = last or sum(sizes[i] for i in items) >= SETTLED * capacity
-                for i in items:
-                    sequence[i], offset[i], settled[i] = uid[items[0]], at, full
-                    at += sizes[i]
-            out = rows[names].copy()
-            out["sequence_id"], out["offset"], out["settled"] = sequence, offset, settled
-            return out
-
-        return run
-
+    loose, placed = found.where(F.col("length") != capacity).select("uid", "length"), None
     for k in range(rounds):
         n = loose.count()
-        islands = max(1, math.ceil(n / island_rows))
-        last = k == rounds - 1 or islands == 1
-        dealt = loose.withColumn("island", F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(islands)))
-        got = stash(dealt.groupBy("island").applyInPandas(island_step(last), schema), f"islands{k}")
-        done = done.union(got.where("settled").drop("settled"))
+        blocks = max(1, math.ceil(n / block_rows))
+        last = k == rounds - 1 or blocks == 1
+        got = stash(evolve_blocks(loose, capacity, blocks, k), f"round{k}")
+        full = F.lit(True) if last else F.col("fill") >= SETTLED * capacity
+        own = Window.partitionBy("block", "bin")  # a sequence's pieces: capacity rows at most
+        before = F.sum("length").over(own.orderBy("uid").rowsBetween(Window.unboundedPreceding, -1))
+        settled = got.where(full).select(F.col("uid").alias("u"), F.min("uid").over(own).alias("sequence_id"), F.coalesce(before, F.lit(0)).alias("offset"))
+        placed = settled if placed is None else placed.union(settled)
         if last:
             break
-        loose = got.where("not settled").select(*names)
-    return done
+        loose = got.where(~full).select("uid", "length")
+    return whole.union(found.join(placed, F.col("uid") == F.col("u")).select(*names, "sequence_id", "offset"))
 
 
-def pack_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, whole_path: str | None = None, capacity: int = CAPACITY,
+                   end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     Defined cases: null and empty texts are one piece, the end id alone; rows that repeat, also with one id, are packed
@@ -298,5 +332,6 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str
 
     ship(docs.sparkSession)
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = stash(pieces(docs, ranks_path, pattern or public_tokenizers.PATTERN, capacity, end_id, id_col, text_col), "pieces")
+    whole_path = whole_path or public_tokenizers.path("byte_bpe_50k.json")
+    found = stash(pieces(docs, ranks_path, pattern or public_tokenizers.PATTERN, whole_path, capacity, end_id, id_col, text_col), "pieces")
     return pack(found, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
