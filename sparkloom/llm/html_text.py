@@ -1,21 +1,27 @@
 """Main-text extraction by minimum-cut labelling of a page's text blocks.
 
-A page is cut in blocks at block-level tags. A fixed logistic classifier scores each block; the two costs of its labels
+A page is cut in blocks at block-level tags. A logistic classifier scores each block; the two costs of its labels
 (content, boilerplate) are the terminal capacities, of which only the difference, the classifier's log odds, matters for the
 cut. Blocks that follow each other and blocks near each other in the DOM are joined by smoothness edges. The minimum cut
 separates content from boilerplate. A block whose log odds outweigh all its edges has the same label in every minimum cut, so
 such blocks are settled first, again and again; maximum flow runs on what is left.
+
+The log odds have two parts. PRIOR is what an element says about its kind (a menu, an article, ...). The other part is learned from the
+texts of the blocks: words, links, punctuation. As pages have no labels, the blocks in articles and those in menus, notices and the
+like are the labelled ones, on at most about FIT_PAGES pages, and what has neither is judged by what they have in common.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import map_arrow
 
@@ -40,9 +46,15 @@ comments disqus reply replies respond discussion related recommended breadcrumb
 #: Bad only outside an article.
 OUTER_TAGS, OUTER_NAMES = frozenset(["header"]), frozenset(["header", "masthead", "topbar", "hero"])
 GOOD_NAMES = frozenset("article content post entry story main body text prose".split())
-#: The classifier: weights of its features.
-WEIGHTS = {"bias": -1.0, "bad": -20.0, "outer": -8.0, "article": 7.0, "good": 2.0, "prose": 1.5, "heading": 0.5, "words": 0.08, "links": -5.0, "item": -1.0, "short": -1.0}
-NEXT_SAME, NEXT_OTHER, SIBLING = 1.0, 0.2, 0.3
+#: Log odds by the kind of element around a block.
+PRIOR = {"bad": -5.0, "outer": -3.0, "article": 2.0, "good": 1.0}
+#: Weights of a block's features where a table has too few labelled blocks to learn from: bias, words by ten, links, end of a sentence, list item, heading.
+DEFAULT = (-1.0, 0.9, -5.0, 0.8, -1.5, 0.5)
+#: What the learned part says at most, for either side.
+MOST = 3.0
+#: Pages that the classifier is fitted on, about.
+FIT_PAGES = 2000
+NEXT_SAME, NEXT_OTHER, SIBLING = 1.0, 0.3, 0.5
 
 
 class Block:
@@ -155,14 +167,57 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def log_odds(b: Block) -> float:
-    w = WEIGHTS
-    if b.bad:
-        return w["bad"]
+def features(b: Block) -> tuple[float, ...]:
     words = b.text.count(" ") + 1
-    z = w["bias"] + w["outer"] * b.outer + w["article"] * b.article + w["good"] * b.good + w["prose"] * (b.tag in ("p", "blockquote", "pre", "figcaption"))
-    z += w["heading"] * (b.tag in HEADING) + w["words"] * min(words, 50) + w["links"] * min(1.0, b.link / len(b.text)) + w["item"] * (b.tag == "li")
-    return z + w["short"] * (words < 4)
+    return 1.0, min(words, 50) / 10, min(1.0, b.link / len(b.text)), float(b.text[-1] in ".!?:;\u3002\u2026\"\u201d"), float(b.tag in ("li", "td")), float(b.tag in HEADING)
+
+
+def log_odds(b: Block, weights: tuple[float, ...] = DEFAULT) -> float:
+    learned = sum(w * x for w, x in zip(weights, features(b)))
+    kind = PRIOR["bad"] if b.bad else PRIOR["outer"] * b.outer + PRIOR["article"] * b.article + PRIOR["good"] * b.good
+    return kind + max(-MOST, min(MOST, learned))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression, both classes weighing the same, by Newton steps."""
+    each = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (each * (y - p)) - ridge * w
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def fit(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES) -> tuple[float, ...]:
+    """The weights, learned from the blocks of about fit_pages pages, chosen by a hash; DEFAULT where either class has under 50 blocks."""
+    n = pages.count()
+    share = 1_000_000 if n <= fit_pages else round(1_000_000 * fit_pages / n)
+    chosen = pages.select(F.col(html_col).alias("html")).where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < share)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            count: Counter = Counter()
+            for page in batch.column(0):
+                for b in blocks(page.as_py() or ""):
+                    if b.bad or b.article:
+                        # Links in tenths, so that equal rows are counted together.
+                        x = features(b)
+                        count[(round(10 * x[1]), round(10 * x[2]), int(x[3]), int(x[4]), int(x[5]), int(not b.bad))] += 1
+            yield {c: pa.array([k[i] for k in count], pa.int32()) for i, c in enumerate("abcdey")} | {"n": pa.array(list(count.values()), pa.int64())}
+
+    counted = map_arrow(chosen, step, "a int, b int, c int, d int, e int, y int, n bigint", ["html"]).groupBy(*"abcdey").agg(F.sum("n").alias("n"))
+    rows = sorted(tuple(r) for r in counted.collect())  # at most 50 x 11 x 2 x 2 x 2 x 2
+    for y in (0, 1):
+        if sum(r[6] for r in rows if r[5] == y) < 50:
+            return DEFAULT
+    got = np.array(rows, float)
+    x = np.column_stack((np.ones(len(got)), got[:, 0] / 10, got[:, 1] / 10, got[:, 2:5]))
+    weight = np.repeat(np.arange(len(got)), np.maximum(1, np.round(got[:, 6] * min(1.0, 20_000 / got[:, 6].sum()))).astype(int))
+    return tuple(float(v) for v in logistic(x[weight], got[weight, 5]))
 
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -186,13 +241,14 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
             near[i] = {}
     rest = [i for i in range(n) if label[i] is None]
     if rest:
-        for i, side in zip(rest, _flow_cut([z[i] for i in rest], [[(rest.index(j), w) for j, w in near[i].items()] for i in rest])):
+        place = {i: k for k, i in enumerate(rest)}
+        for i, side in zip(rest, _flow_cut([z[i] for i in rest], [[(place[j], w) for j, w in near[i].items()] for i in rest])):
             label[i] = side
     return [bool(x) for x in label]
 
 
 def _flow_cut(z: list[float], near: list[list[tuple[int, float]]]) -> list[bool]:
-    """Maximum flow along shortest paths from the source (content) to the sink (boilerplate); who the source still reaches is content."""
+    """Maximum flow by blocking flows from the source (content) to the sink (boilerplate); whom the source still reaches is content."""
     n = len(z)
     source, sink = n, n + 1
     room: list[dict[int, float]] = [dict(x) for x in near] + [{}, {}]
@@ -204,24 +260,41 @@ def _flow_cut(z: list[float], near: list[list[tuple[int, float]]]) -> list[bool]
             room[i][sink] = -x
             room[sink].setdefault(i, 0.0)
     while True:
-        came = {source: -1}
+        level = {source: 0}
         queue = deque([source])
-        while queue and sink not in came:
+        while queue:
             i = queue.popleft()
             for j, c in room[i].items():
-                if c > 1e-9 and j not in came:
-                    came[j] = i
+                if c > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if sink not in came:
-            return [i in came for i in range(n)]
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        least = min(room[i][j] for i, j in path)
-        for i, j in path:
-            room[i][j] -= least
-            room[j][i] = room[j].get(i, 0.0) + least
+        if sink not in level:
+            return [i in level for i in range(n)]
+        # A blocking flow: each node tries its edges once, from where it stopped.
+        trials = {i: iter([j for j in room[i] if level.get(j) == level[i] + 1]) for i in level}
+        held: dict[int, int | None] = {}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                least = min(room[a][b] for a, b in zip(path, path[1:]))
+                first = None
+                for k, (a, b) in enumerate(zip(path, path[1:])):
+                    room[a][b] -= least
+                    room[b][a] = room[b].get(a, 0.0) + least
+                    if first is None and room[a][b] <= 1e-9:
+                        first = k
+                del path[first + 1 :]  # back to where the path is full
+                continue
+            j = held.get(i)
+            if j is None or room[i][j] <= 1e-9:
+                j = held[i] = next((x for x in trials[i] if room[i][x] > 1e-9), None)
+            if j is not None:
+                path.append(j)
+                continue
+            path.pop()
+            if path:
+                held[path[-1]] = None  # a dead end: its next rival is tried
 
 
 def edges_of(found: list[Block]) -> list[tuple[int, int, float]]:
@@ -237,24 +310,26 @@ def edges_of(found: list[Block]) -> list[tuple[int, int, float]]:
     return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] = DEFAULT) -> str:
     """The main text: its blocks in page order, joined by a newline."""
     found = blocks(page or "")
     if not found:
         return ""
-    return "\n".join(b.text for b, keep in zip(found, min_cut([log_odds(b) for b in found], edges_of(found))) if keep)
+    return "\n".join(b.text for b, keep in zip(found, min_cut([log_odds(b, weights) for b in found], edges_of(found))) if keep)
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages.
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: tuple[float, ...] | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row of pages. weights: those of fit, which is called where they are not given.
 
     Defined cases: null, empty and text-free pages have empty text; broken markup is read as far as it goes, an open comment,
     tag or script hides the rest; repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
 
+    weights = fit(pages, html_col) if weights is None else weights
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(2)]
+            texts = [main_text(x.as_py(), weights) for x in batch.column(2)]
             yield {"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
 
     kind = dict(pages.dtypes)[id_col]

@@ -330,6 +330,40 @@ def test_op4_page():
     assert html_text.main_text(page) == "A & B\nFirst bold line of the text.\nNo."
 
 
+DIVS = """<html><body><div class="menu"><a href="/">Home</a> <a href="/b">Other</a></div><div>The ship left the harbour before the sun was up, and nobody on the quay
+took any notice of it at all.</div><div>Nobody spoke.</div><div>Then</div><div>The captain, who had not slept, looked at the chart once more and shook his head slowly.</div>
+<div class="footer">All rights reserved by the owners of this page, whoever they may be today.</div></body></html>"""
+
+
+def test_op4_the_cut_decides_where_the_classifier_does_not():
+    """Short blocks between long ones: their own odds say boilerplate, their neighbours carry them."""
+    found = html_text.blocks(DIVS)
+    odds = [html_text.log_odds(b) for b in found]
+    labels = html_text.min_cut(odds, html_text.edges_of(found))
+    assert [b.text.split()[0] for b, x in zip(found, labels) if x] == ["The", "Nobody", "Then", "The"]
+    assert any(x != (z > 0) for x, z in zip(labels, odds))
+
+
+def test_op4_learns_from_pages_without_labels(spark, sf):
+    weights = html_text.fit(spark.read.parquet(f"{sf}/pages.parquet"))
+    assert weights != html_text.DEFAULT and weights[1] > 0 > weights[2]
+    assert html_text.main_text(DIVS, weights).startswith("The ship")
+
+
+def test_op4_long_page_of_ambiguous_blocks():
+    """The flow on one cluster of ten thousand blocks, each weaker than its edges."""
+    rng = random.Random(9)
+    odds = [rng.choice([-1.2, 1.0]) for _ in range(10_000)]
+    edges = [(i, i + 1, 1.0) for i in range(9999)] + [(i, i + 2, 0.5) for i in range(9998)]
+    labels = html_text.min_cut(odds, edges)
+    cost = lambda side: sum(abs(z) for z, s in zip(odds, side) if s != (z > 0)) + sum(w for i, j, w in edges if side[i] != side[j])
+    best = {(a, b): cost_of for a in (0, 1) for b in (0, 1) for cost_of in [(abs(odds[0]) if a != (odds[0] > 0) else 0) + (abs(odds[1]) if b != (odds[1] > 0) else 0) + (a != b)]}
+    for i in range(2, 10_000):
+        pay = [abs(odds[i]) if s != (odds[i] > 0) else 0 for s in (0, 1)]
+        best = {(b, c): min(best[a, b] + pay[c] + (b != c) + 0.5 * (a != c) for a in (0, 1)) for b in (0, 1) for c in (0, 1)}
+    assert abs(cost(labels) - min(best.values())) < 1e-6
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 9).flatmap(lambda n: st.tuples(st.lists(st.integers(-5, 5), min_size=n, max_size=n), st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1), st.integers(1, 4)), max_size=14))))
 def test_op4_cut_is_minimal(case):
