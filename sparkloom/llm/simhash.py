@@ -6,9 +6,9 @@ row after a partial aggregation, however large it is.
 
 Exact pairs. The metric space is cut in shards: with b blocks of bits, fingerprints within radius r agree on at least
 b - r blocks, so for each choice of b - r blocks all fingerprints whose projection has distance zero meet in one shard,
-and a fingerprint goes to every shard that its ball touches (boundary overlap). No pair can be lost. Inside a shard a
-vantage-point tree partitions by Hamming distance to vantage points at the median distance and a range search prunes a branch whenever the
-triangle bound |d(q, v) - d(x, v)| > r excludes it. A shard gives only the edges of a spanning forest of its own links,
+and a fingerprint goes to every shard that its ball touches (boundary overlap). No pair can be lost. Every shard, of any size, is
+searched by a vantage-point tree of its own: it partitions by Hamming distance to a vantage point at the median distance, and a range search
+prunes a branch whenever the triangle bound excludes it. A shard gives only the edges of a spanning forest of its own links,
 so what leaves it is linear in its size. Shards over ``shard_rows`` rows are split into chunks, and every pair of chunks
 is searched in its own task, so no group is gathered in one task whatever its size. A chunk has between ``shard_rows``
 and CHUNK_MOST rows.
@@ -90,47 +90,69 @@ def block_masks(blocks: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
 
 
-class VantageTree:
-    """Exact range search by Hamming distance over distinct 64-bit fingerprints."""
-
-    def __init__(self, points: np.ndarray, leaf: int = 64):
-        self.points, self.leaf = points.view(np.uint64), leaf
-        self.root = self._build(np.arange(len(points)))
-
-    def _build(self, rows: np.ndarray):
-        if len(rows) <= self.leaf:
-            return rows
-        vantage = self.points[rows[0]]
-        d = np.bitwise_count(self.points[rows] ^ vantage)
-        middle = int(np.median(d))
-        near = d <= middle
-        if near.all():
-            near = d < middle
-            middle -= 1
-            if not near.any():
-                return rows
-        return vantage, middle, self._build(rows[near]), self._build(rows[~near])
-
-    def links(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Batches of (query index, point index) within radius; each query goes down every branch its ball touches."""
+class VantageForest:
+    """Exact range search by Hamming distance in many sets of 64-bit fingerprints at once: one vantage-point tree for each set.
+
+    Each node holds one point of its set, the vantage point; the others are sorted by their distance to it and halved, and each half
+    keeps its least and greatest distance. All trees are built level by level together.
+    """
+
+    def __init__(self, owner: np.ndarray, words: np.ndarray):
+        """owner: the set of each point, 0, 1, ..., in ascending order."""
+        self.words = words.view(np.uint64)
+        n = len(words)
+        self.point, self.low, self.high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.child = np.full((n, 2), -1, np.int64)
+        order = np.arange(n)
+        start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if n else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate((start, [n])))
+        self.roots = np.arange(len(start))
+        node, made = self.roots, len(start)
+        while len(start):
+            vantage = order[start]
+            self.point[node] = vantage
+            rest = size > 1
+            start, size, node, vantage = start[rest] + 1, size[rest] - 1, node[rest], vantage[rest]
+            if not len(start):
+                break
+            set_of = np.repeat(np.arange(len(start)), size)
+            at = np.arange(len(set_of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+            d = np.bitwise_count(self.words[order[at]] ^ np.repeat(self.words[vantage], size)).astype(np.int64)
+            by = np.lexsort((d, set_of))
+            order[at], d = order[at][by], d[by]
+            first = np.cumsum(size) - size
+            half = (size + 1) // 2
+            starts, sizes, nodes = [], [], []
+            for side, (a, m) in enumerate(((np.zeros_like(half), half), (half, size - half))):
+                some = m > 0
+                new = made + np.arange(int(some.sum()))
+                made += len(new)
+                self.child[node[some], side] = new
+                self.low[new], self.high[new] = d[(first + a)[some]], d[(first + a + m - 1)[some]]
+                starts.append((start + a)[some])
+                sizes.append(m[some])
+                nodes.append(new)
+            start, size, node = np.concatenate(starts), np.concatenate(sizes), np.concatenate(nodes)
+
+    def links(self, owner: np.ndarray, queries: np.ndarray, radius: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Batches of (query index, point index) within radius in the query's set; a query goes down every branch that its ball may touch."""
         queries = queries.view(np.uint64)
-        todo = [(self.root, np.arange(len(queries)))]
+        todo = [(np.arange(a, min(a + most, len(queries))), self.roots[owner[a : a + most]]) for a in range(0, len(queries), most)]
         while todo:
-            node, q = todo.pop()
-            if not len(q):
-                continue
-            if isinstance(node, np.ndarray):
-                for i in range(0, len(q), max(1, (1 << 20) // max(1, len(node)))):
-                    some = q[i : i + max(1, (1 << 20) // max(1, len(node)))]
-                    close = np.bitwise_count(queries[some][:, None] ^ self.points[node][None, :]) <= radius
-                    a, b = np.nonzero(close)
-                    if len(a):
-                        yield some[a], node[b]
-                continue
-            vantage, middle, near, far = node
-            d = np.bitwise_count(queries[q] ^ vantage).astype(np.int64)
-            todo.append((near, q[d - radius <= middle]))
-            todo.append((far, q[d + radius > middle]))
+            q, node = todo.pop()
+            point = self.point[node]
+            d = np.bitwise_count(queries[q] ^ self.words[point]).astype(np.int64)
+            close = d <= radius
+            if close.any():
+                yield q[close], point[close]
+            near, far = self.child[node, 0], self.child[node, 1]
+            goes = []
+            for child in (near, far):
+                # The triangle bound: points of the child are between low and high from the vantage point.
+                touched = (child >= 0) & (d - radius <= self.high[child]) & (d + radius >= self.low[child])
+                goes.append((q[touched], child[touched]))
+            q, node = (np.concatenate(x) for x in zip(*goes))
+            todo += [(q[a : a + most], node[a : a + most]) for a in range(0, len(q), most)]
 
 
 def _forest(known: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,31 +181,17 @@ def _forest(known: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -
     return np.concatenate(kept_a), np.concatenate(kept_b)
 
 
-def _chunk_edges(node: np.ndarray, known: np.ndarray, word: np.ndarray, side: np.ndarray, radius: int):
-    """Links of a spanning forest within a chunk (side 0), or between the rows of two chunks (sides 1 and 2)."""
-    if (known == known[0]).all():
-        return node[:0], node[:0]
-    if side.any():
-        a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-    else:
-        a = b = np.arange(len(node))
-    x, y = _forest(known, ((a[i], b[j]) for i, j in VantageTree(word[b]).links(word[a], radius)))
-    return node[x], node[y]
-
-
-def _small_edges(groups: list[dict], radius: int):
-    """The same for many small shards at once: rows at each distance in the list of rows."""
-    node, word = (np.concatenate([g[n] for g in groups]) for n in ("node", "word"))
-    owner = np.repeat(np.arange(len(groups)), [len(g["node"]) for g in groups])
-    known = np.unique(np.stack((owner, np.concatenate([g["known"] for g in groups]))), axis=1, return_inverse=True)[1].ravel()
-
-    def links():
-        for gap in range(1, max(len(g["node"]) for g in groups)):
-            i = np.flatnonzero((owner[gap:] == owner[:-gap]) & (known[gap:] != known[:-gap]) & (np.bitwise_count(word[gap:] ^ word[:-gap]) <= radius))
-            if len(i):
-                yield i, i + gap
-
-    x, y = _forest(known, links())
+def _shard_edges(shards: list[dict], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest within each shard (side 0), or between the two chunks of each pair (sides 1 and 2), by their trees."""
+    node, word, side = (np.concatenate([g[n] for g in shards]) for n in ("node", "word", "side"))
+    owner = np.repeat(np.arange(len(shards)), [len(g["node"]) for g in shards])
+    _, known = np.unique(node, return_inverse=True)
+    points, queries = np.flatnonzero(side != 1), np.flatnonzero(side != 2)
+    # A pair of chunks may have rows of one side only.
+    sets, of = np.unique(owner[points], return_inverse=True)
+    queries = queries[np.isin(owner[queries], sets)]
+    forest = VantageForest(of, word[points])
+    x, y = _forest(known, ((queries[q], points[p]) for q, p in forest.links(np.searchsorted(sets, owner[queries]), word[queries], radius)))
     return node[x], node[y]
 
 
@@ -208,12 +216,10 @@ def _often(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(step, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, shard_rows: int = 512, words: tuple[str, ...] = ("fp",), known: str = "node") -> DataFrame:
-    """Links (a, b), a > b, whose connected components are those of all links. nodes: node and words, distinct.
+def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, shard_rows: int = 512) -> DataFrame:
+    """Links (a, b), a > b, whose connected components are those of all links. nodes: node and fp, distinct.
 
-    Two rows link when one of their words differs in at most radius bits. Rows that agree in the column known are in one
-    group already, so no link between them is given. A shard is named by a 64-bit hash of its number and
-    cell; should two shards share a name, the distance still decides about each pair.
+    A shard is named by a 64-bit hash of its number and cell; should two shards share a name, the distance still decides about each pair.
     """
     spark = nodes.sparkSession
     ship(spark)
@@ -222,14 +228,9 @@ def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, sh
     masks = block_masks(blocks)
     choices = [sum(masks[k] for k in kept) for kept in itertools.combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in choices]
-    cells = [
-        F.struct(F.xxhash64(F.lit(j * len(signed) + i), F.col(w).bitwiseAND(F.lit(m))).alias("key"), F.col(w).alias("word"))
-        for j, w in enumerate(words) for i, m in enumerate(signed)
-    ]
+    cells = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)]
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), rows * len(cells) // 2_000_000)
-    same = [] if known == "node" else ["known"]
-    spread = nodes.repartition(parts, "node").select("node", F.col(known).alias("known"), F.explode(F.array(*cells)).alias("k"))
-    keyed = spread.select("node", *same, "k.key", "k.word")
+    keyed = nodes.repartition(parts, "node").select("node", F.col("fp").alias("word"), F.explode(F.array(*cells)).alias("key"))
     size = F.greatest(F.lit(shard_rows), F.least(F.lit(CHUNK_MOST), F.col("n") / 32))
     large = stash(_often(keyed.select("key")).where(F.col("n") > shard_rows).select(F.col("key").alias("large"), F.ceil(F.col("n") / size).cast("int").alias("chunks")), "large")
     few = large.count() <= LARGE_SHARDS
@@ -239,21 +240,20 @@ def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, sh
     low, high = F.least(F.col("chunk"), F.col("other")), F.greatest(F.col("chunk"), F.col("other"))
     # A shard of few rows keeps its key; each pair of chunks of a large one is a key of its own.
     dealt = met.select(
-        "node", *same, "word", F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"),
+        "node", "word", F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"),
         F.when((F.col("other") < 0) | (F.col("chunk") == F.col("other")), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
     )
     dealt = dealt.repartition(parts, "key").sortWithinPartitions("key")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "node", "word", "side", *same)
+        names = ("key", "node", "word", "side")
 
-        def groups() -> Iterator[dict]:
+        def shards() -> Iterator[dict]:
             rest = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 cols = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names}
-                cols.setdefault("known", cols["node"])
                 cols["word"] = cols["word"].view(np.uint64)  # signed numbers would give the bits of absolute values
                 if rest is not None:
                     cols = {n: np.concatenate((rest[n], v)) for n, v in cols.items()}
@@ -268,17 +268,14 @@ def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, sh
         def edges() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             held: list[dict] = []
             count = 0
-            for g in groups():
-                if len(g["node"]) <= 96:
-                    held.append(g)
-                    count += len(g["node"])
-                    if count >= 1 << 15:
-                        yield _small_edges(held, radius)
-                        held, count = [], 0
-                    continue
-                yield _chunk_edges(g["node"], g["known"], g["word"], g["side"], radius)
+            for g in shards():
+                held.append(g)
+                count += len(g["node"])
+                if count >= 1 << 15:
+                    yield _shard_edges(held, radius)
+                    held, count = [], 0
             if held:
-                yield _small_edges(held, radius)
+                yield _shard_edges(held, radius)
 
         for a, b in edges():
             if len(a):

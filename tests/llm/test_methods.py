@@ -65,11 +65,30 @@ def test_op5_edges_of_dense_balls(spark, rows):
     assert [found.get(i, i) for i in range(len(fp))] == _groups(np.array(fp, np.uint64), 4)
 
 
-def test_vantage_tree_finds_all():
+def test_vantage_forest_finds_all_and_prunes():
     rng = np.random.default_rng(1)
-    points = rng.integers(0, 1 << 20, 500).astype(np.uint64)
-    pairs = {(int(a), int(b)) for x, y in simhash.VantageTree(points, 8).links(points, 3) for a, b in zip(x, y)}
-    assert pairs == {(i, j) for i in range(500) for j in range(500) if (int(points[i]) ^ int(points[j])).bit_count() <= 3}
+    owner = np.sort(rng.integers(0, 20, 2000))
+    owner = np.unique(owner, return_inverse=True)[1]
+    points = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
+    near = rng.integers(0, 2000, 300)
+    queries = np.concatenate((points, points[near] ^ np.uint64(0b10110)))
+    of = np.concatenate((owner, owner[near]))
+    forest = simhash.VantageForest(owner, points)
+    pairs = {(int(a), int(b)) for x, y in forest.links(of, queries, 4) for a, b in zip(x, y)}
+    want = {(i, int(j)) for i in range(len(queries)) for j in np.flatnonzero((owner == of[i]) & (np.bitwise_count(points ^ queries[i]) <= 4))}
+    assert pairs == want and len(want) >= 2300
+    assert sorted(forest.point.tolist()) == list(range(2000))  # each point is the vantage point of one node
+    # The triangle bound leaves branches out: points on a line of rings around zero.
+    rings = np.array([(1 << k) - 1 for k in range(64)], np.uint64)
+    visited = []
+    ring = simhash.VantageForest(np.zeros(64, np.int64), rings)
+    count = np.bitwise_count
+    try:
+        simhash.np.bitwise_count = lambda v: (visited.append(len(v)), count(v))[1]
+        found = {(int(a), int(b)) for x, y in ring.links(np.zeros(1, np.int64), rings[:1], 1) for a, b in zip(x, y)}
+    finally:
+        simhash.np.bitwise_count = count
+    assert found == {(0, 0), (0, 1)} and sum(visited) < 20
 
 
 def _brute_lines(texts: dict, least: int) -> dict[int, set[int]]:
