@@ -29,8 +29,6 @@ ORDERS = (3, 4, 5)
 HASHES = 3
 SAMPLE_ROWS = 8000
 MIN_SHARE = 0.02
-#: n-grams that a language keeps at most for each length, the most frequent ones.
-KEPT = 20_000
 _LETTER = np.array([chr(i).isalpha() if i < 128 else True for i in range(256)])
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 
@@ -143,7 +141,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = counts.where(F.col("n") >= least).toArrow().to_pandas()
     rows["share"] = rows["n"] / rows["lang"].map(used)
     rows = rows[rows["share"] >= 0.1 * rows.groupby(["ord", "gram"])["share"].transform("max")]
-    rows = rows.sort_values(["lang", "ord", "share", "gram"], ascending=[True, True, False, True]).groupby(["lang", "ord"]).head(KEPT)
     tables, rates = {}, {}
     for order in ORDERS:
         own = rows[rows["ord"] == order]
