@@ -1,8 +1,8 @@
 """URL filter: host and path rules, and a weighted vocabulary found by an Aho-Corasick automaton.
 
-A URL without a fitting rule is judged by its words: one strict term, or soft terms that are at least SOFT_DISTINCT
-different ones and weigh SOFT_WEIGHT together, reject it. A term counts only between boundaries, where the characters
-beside it are no ASCII letters or digits.
+A URL without a fitting rule is judged by its words: one strict term, or SOFT_DISTINCT different soft terms or more whose weights
+add up to SOFT_WEIGHT, reject it. So two strong soft terms are enough, of weak ones it takes three to five. A term counts only
+between boundaries, where the characters beside it are no ASCII letters or digits. The vocabulary is a parameter.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ from ._common import map_arrow
 
 #: (verdict, host, path): a rule fits its host and all subdomains, where the path begins with its path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-STRICT = ("porn", "porno", "xxx", "hentai", "escort", "warez", "phishing", "malware")
-SOFT = {
-    "ads": 1.0, "ad": 1.0, "adserver": 1.5, "track": 1.0, "tracker": 1.0, "tracking": 1.0, "banner": 1.0, "popup": 1.0, "affiliate": 1.0, "clickbait": 1.5,
-    "casino": 1.5, "bet": 1.0, "betting": 1.0, "poker": 1.0, "adult": 1.0, "nude": 1.5, "sex": 1.5, "dating": 1.0, "viagra": 1.5, "loan": 1.0, "torrent": 1.0,
-}
-SOFT_DISTINCT, SOFT_WEIGHT = 2, 2.0
+STRICT = tuple("""porn porno pornos pornstar xxx hentai milf camgirl camgirls sexcam sexcams escort escorts bdsm fetish gangbang upskirt
+warez keygen keygens phishing malware ransomware spyware botnet carding cvv2 fullz""".split())
+#: Soft terms by weight.
+SOFT = {t: w for w, terms in {
+    12: "casino casinos betting sportsbet jackpot roulette slots viagra cialis tramadol nude nudes naked sexy clickbait adserver doubleclick payday",
+    9: "poker bet bets bingo lottery lotto adult sex erotic dating hookup singles torrent torrents crack cracked serials popup popups popunder affiliate affiliates telemetry replica",
+    6: "banner banners tracker tracking track clickid clk sponsored sponsor promo promos coupon coupons deal deals loan loans credit forex bitcoin crypto pills pharmacy weightloss",
+    4: "ad ads click clicks pixel beacon utm ref cheap free win winner bonus offer offers buy redirect redir out goto",
+}.items() for t in terms.split()}
+SOFT_DISTINCT, SOFT_WEIGHT = 2, 18
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
 
