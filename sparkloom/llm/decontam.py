@@ -30,8 +30,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Differing bits of two fingerprints. At similarity 0.8 about 10 of 64 differ, with a deviation of 3.
 RADIUS = 22
-#: Characters of items that are broadcast at once; more items are searched in blocks of this size.
-BLOCK_CHARS = 16_000_000
+#: Characters of items whose index is built and broadcast at once; more items are searched in blocks of this size.
+BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 20
 
 
@@ -163,15 +163,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     out = None
     for block in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_text"), F.lit(n_blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        found = _search(docs, shared, threshold, radius, schema, id_col, text_col)
+        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], threshold, radius))
+        found = _search(docs, shared, schema, id_col, text_col)
         out = found if out is None else out.union(found)
     return out
 
 
-def _search(docs: DataFrame, shared, threshold: float, radius: int, schema: str, id_col: str, text_col: str) -> DataFrame:
+def _search(docs: DataFrame, shared, schema: str, id_col: str, text_col: str) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        items = Items(*shared.value, threshold, radius)
+        items = shared.value
         for batch in batches:
             for part in text_slices(batch, text_col):
                 found = [x for x in _scan(items, part.column(1))]
