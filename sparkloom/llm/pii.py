@@ -8,7 +8,7 @@ each votes for (1), against (-1) or not (0). Votes are counted by pattern, of wh
 estimates each labeler's reliability for either class, by kind. A logistic span classifier over kind, votes and span length is
 then fitted to the EM posteriors of the same counts, and applied as an expression.
 
-Expressions are written without backtracking (possessive), which gives the same matches in linear time; a match may
+All work on a text is linear in its spans but for a factor of CHUNK, see _before. Expressions are written without backtracking (possessive), which gives the same matches in linear time; a match may
 begin only where the last ended or at the start of a run of its characters, as a leftmost match does.
 """
 
@@ -34,7 +34,7 @@ MORE = {
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[0-9]"),
     "tel": (r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", "[0-9]"),
-    "mail_words": (r"(?<![A-Za-z0-9])[A-Za-z0-9._-]{2,40}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{2,40}\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,10}(?![A-Za-z0-9])", "[\\[(]"),
+    "mail_words": (r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]++(?![A-Za-z0-9])", "[\\[(]"),
 }
 KINDS = [*BASE, *MORE]
 #: Shapes that the strict labeler wants.
@@ -96,24 +96,44 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+#: Code points before a span in which the labeler of words looks.
+CONTEXT_CHARS = 40
+CHUNK = 64
+_SPAN = "struct<start:int,ord:int,end:int,v_shape:int,v_gazetteer:int,v_context:int,v_edges:int,size:int>"
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, zero: Column, merge) -> Column:
+    """For each value, all values before it merged with zero. Chunks of CHUNK values are merged first, so n values take CHUNK n + (n / CHUNK)**2 steps."""
+
+    def with_chunks(chunks: Column) -> Column:
+        def with_sums(sums: Column) -> Column:
+            starts = F.transform(sums, lambda x, i: F.aggregate(F.slice(sums, F.lit(1), i), zero, merge))
+            inner = lambda c, s: F.transform(c, lambda x, j: F.aggregate(F.slice(c, F.lit(1), j), s, merge))
+            return F.flatten(F.zip_with(chunks, starts, inner))
+
+        return _let(F.transform(chunks, lambda c: F.aggregate(c, zero, merge)), with_sums)
+
+    def given(values: Column) -> Column:
+        count = F.floor((F.size(values) + CHUNK - 1) / CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(F.size(values) > 0, _let(chunks, with_chunks)).otherwise(values)
+
+    return _let(values, given)
+
+
 def _spans(text: Column, kind: str) -> Column:
-    """array<struct<start, ord, end, kind, votes...>> of one kind."""
+    """array<struct<start, ord, end, votes..., size>> of one kind."""
     expression, test = (BASE | MORE)[kind]
-    matches = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    gaps = F.split(text, expression, -1)
-    # Starts by summing up lengths; then each match with what lies before and after it.
-    sized = F.zip_with(matches, F.slice(gaps, 1, F.greatest(F.size(matches), F.lit(0))), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        sized, zero,
-        lambda a, x: F.struct((a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"), F.array_append(a["starts"], a["at"] + F.length(x["g"])).alias("starts")),
-        lambda a: a["starts"],
-    )
-    rows = F.arrays_zip(starts.alias("at"), matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("before"), F.slice(gaps, 2, F.size(matches)).alias("after"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def row(x: Column) -> Column:
         m = x["m"]
-        before = F.lower(F.substring(x["before"], -40, 40))
+        before = F.lower(F.substring(x["before"], -CONTEXT_CHARS, CONTEXT_CHARS))
         edge = F.substring(x["before"], -1, 1).rlike(r"[\p{L}\p{N}_]") | F.substring(x["after"], 1, 1).rlike(r"[\p{L}\p{N}_]")
         vote = lambda test: F.when(test, 1).otherwise(-1)
         return F.struct(
@@ -123,10 +143,33 @@ def _spans(text: Column, kind: str) -> Column:
             F.when(edge, -1).otherwise(1).alias("v_edges"), F.floor(F.log2(F.length(m))).cast("int").alias("size"),
         )
 
-    held = F.filter(rows, lambda x: _holds(kind, x["m"]))
+    def located(matches: Column, gaps: Column) -> Column:
+        """Starts: what lies before a match is the gaps and matches before it, and its own gap."""
+        own = F.slice(gaps, F.lit(1), F.size(matches))
+        sizes = F.zip_with(matches, own, lambda m, g: F.length(m) + F.length(g))
+        starts = F.zip_with(_before(sizes, F.lit(0), lambda a, x: a + x), own, lambda s, g: s + F.length(g))
+        rows = F.arrays_zip(starts.alias("at"), matches.alias("m"), own.alias("before"), F.slice(gaps, F.lit(2), F.size(matches)).alias("after"))
+        return F.transform(F.filter(rows, lambda x: _holds(kind, x["m"])), row)
+
+    def found(matches: Column) -> Column:
+        return F.when(F.size(matches) > 0, _let(F.split(text, expression, -1), lambda gaps: located(matches, gaps))).otherwise(none)
+
     possible = F.contains(text, F.lit(test)) if len(test) == 1 else text.rlike(test)
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,v_shape:int,v_gazetteer:int,v_context:int,v_edges:int,size:int>>")
-    return F.when(possible, F.transform(held, row)).otherwise(none)
+    return F.when(possible, _let(F.regexp_extract_all(text, F.lit(expression), F.lit(0)), found)).otherwise(none)
+
+
+def _apart(spans: Column) -> Column:
+    """Of spans by start, those further ones that overlap no base span."""
+    is_base = lambda s: s["ord"] < len(BASE)
+    low, high = F.lit(-1), F.lit(2**31 - 1)
+    ends = F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(low))
+    starts = F.reverse(F.transform(spans, lambda s: F.when(is_base(s), s["start"]).otherwise(high)))
+    # The base span before that ends last, and the next one after.
+    reach = _before(ends, low, lambda a, x: F.greatest(a, x))
+    ahead = F.reverse(_before(starts, high, lambda a, x: F.least(a, x)))
+    rows = F.arrays_zip(spans.alias("s"), reach.alias("r"), ahead.alias("n"))
+    kept = F.filter(rows, lambda x: ~is_base(x["s"]) & (x["r"] <= x["s"]["start"]) & (x["n"] >= x["s"]["end"]))
+    return F.transform(kept, lambda x: x["s"])
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +253,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     base = F.filter("found", lambda s: s["ord"] < len(BASE))
     bar = math.log(accept / (1 - accept))
-    more = F.filter("found", lambda s: (s["ord"] >= len(BASE)) & (score(s) >= bar) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    further = F.exists("found", lambda s: s["ord"] >= len(BASE))
+    more = F.when(further, F.filter(_let(F.col("found"), _apart), lambda s: score(s) >= bar)).otherwise(F.array().cast(f"array<{_SPAN}>"))
     name = F.array(*map(F.lit, KINDS))
 
     def joined(spans: Column) -> Column:

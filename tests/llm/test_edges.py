@@ -59,11 +59,11 @@ def test_decontam(spark, docs, none):
 
 
 def test_pages(spark):
-    rows = [(1, None, None), (2, "", ""), (3, "http://a.net/es/x", "<p>one"), (3, "no scheme", "text &amp; <b>more</b> <script>x<p>y"), (None, "x://ads.track.org?b", "<!-- open")]
+    rows = [(1, None, None), (2, "", ""), (3, "http://a.net/es/x", "<p>one"), (3, "no scheme", "text &amp; <b>more</b> <script>x<p>y"), (None, "x://casino.bet.org?b", "<!-- open")]
     pages = spark.createDataFrame([(*r, "t", "h") for r in rows], "page_id long, url string, html string, text string, host string")
     assert html_text.extract_pages(pages).count() == url_filter.judge_urls(pages).count() == len(rows)
     got = {r["path"]: (r["host"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages).where("host <> ''").collect()}
-    assert got == {"/es/x": ("a.net", "net/es/", "block"), "": ("ads.track.org", None, "block")}
+    assert got == {"/es/x": ("a.net", "net/es/", "block"), "": ("casino.bet.org", None, "block")}
     assert html_text.extract_pages(pages.limit(0)).count() == url_filter.judge_urls(pages.limit(0)).count() == 0
 
 

@@ -239,7 +239,9 @@ def test_op8_against_sql(spark, sf):
 def test_op8_words():
     words = url_filter.Vocabulary()
     judge = lambda u: words.rejects(*words.hits(u))
-    assert judge("http://x.org/xxx/") and judge("http://ads.x.org/track") and not judge("http://roads.x.org/tracks") and not judge("http://ads.x.org/ads")
+    assert judge("http://x.org/xxx/") and judge("http://casino.x.org/bet") and not judge("http://roads.x.org/tracks") and not judge("http://casino.x.org/casino")
+    # The weights decide: two weak terms stay, two strong ones or many weak ones go.
+    assert not judge("http://ads.x.org/track") and judge("http://ads.x.org/track/click/banner/ref") and not judge("http://x.org/free/click")
 
 
 def test_op1_edits_and_likeness(spark, sf, texts):
@@ -336,9 +338,51 @@ def test_op3_spans_by_plain_patterns(spark, sf, texts):
         assert got.loc[k, "base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
 
 
-def test_op3_novelty():
-    text = "the credential is qX9vT2mK7pLw4ZcR8nBd and the password_reset_token_expiry_default follows"
-    assert [text[s:e] for s, _, e in secret_scan.novel_spans(text, [], secret_scan.Novelty())] == ["qX9vT2mK7pLw4ZcR8nBd"]
+def test_op3_novelty_tells_words_from_secrets(spark, sf):
+    """The bar on positives and negatives: random strings of three alphabets against identifiers in three cases, paths and prose."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    novelty = secret_scan.Novelty(secret_scan.identifier_dictionary(docs))
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = "password token secret user account config reset update default value handler client server request response access policy index table column session header".split()
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    random_ones = ["".join(rng.choice(a) for _ in range(rng.randrange(16, 41))) for a in (letters, letters + "0123456789", "abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60)]
+    plain = ["_".join(some(4)) + rng.choice(["", "_2024", "_v2"]) for _ in range(60)] + ["".join(w.capitalize() for w in some(4)) for _ in range(60)]
+    plain += ["_".join(some(4)).upper() for _ in range(60)] + ["/".join(some(4)) + ".html" for _ in range(60)]
+    hit = lambda v: bool(secret_scan.novel_spans(f"the client secret of it is {v} as we know", [], novelty))
+    assert sum(map(hit, random_ones)) >= 0.9 * len(random_ones)
+    assert sum(map(hit, plain)) <= 0.08 * len(plain)
+    assert not hit("password_reset_2024_expiry") and not hit("2024-05-11_10:22:33.123456")
+
+
+def test_op3_context_is_on_both_sides():
+    text = "credential " + "of the house " * 40 + "qX9vT2mK7pLw4ZcRnBd and the password_reset_token_expiry_default follows"
+    assert [text[s:e] for s, _, e in secret_scan.novel_spans(text, [], secret_scan.Novelty())] == ["qX9vT2mK7pLw4ZcRnBd"]
+
+
+def test_op2_against_sets(spark):
+    """The same counts, kept n-grams and decisions with Python sets, where a large filter has hardly a false positive."""
+    texts = {"en": ["the house and the garden", "a garden of the house", "the end and the start"], "de": ["das Haus und der Garten", "der Garten des Hauses", "das Ende und der Anfang"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(sorted((k, t) for k, v in texts.items() for t in v))]
+    docs = spark.createDataFrame(rows + [(100 + i, t, None) for i, t in enumerate(["the garden", "der Garten", "Haus und garden", "!!"])], "doc_id long, text string, lang string")
+    learned = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+
+    def grams(t):
+        b = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in t.lower().encode())
+        return [b[i : i + n] for n in langid.ORDERS for i in range(len(b) - n + 1) if b[i + 1] != 32]
+
+    share = {}
+    for x in ("de", "en"):
+        own = [set(grams(t)) for t, y in learned if y == x]
+        for g in set().union(*own):
+            share[g, x] = sum(g in s for s in own) / len(own)
+    kept = {(g, x) for (g, x), s in share.items() if s >= langid.MIN_SHARE and s >= 0.1 * max(share.get((g, y), 0) for y in ("de", "en"))}
+    for r in langid.predict(docs, langid.fit(docs)).collect():
+        text = dict((i, t) for i, t, *_ in docs.collect())[r["doc_id"]]
+        n = grams(text)
+        hits = {x: sum((g, x) in kept for g in n) / max(1, len(n)) for x in ("de", "en")}
+        if sum(hits.values()):
+            assert r["lang_pred"] == max(("de", "en"), key=lambda x: hits[x]) and abs(r["score"] - max(hits.values()) / sum(hits.values())) < 0.02
 
 
 def test_op4_page():
@@ -418,6 +462,33 @@ def test_op10_base_spans(spark, texts):
         assert set(filter(None, want.split(","))) <= set(got[k]["spans"].split(","))
 
 
+def test_op10_further_spans(spark):
+    """Which further spans stay: those that the labelers carry, and none that overlaps a base span."""
+    good = [(i, f"my social security number is 123-45-{6000 + i}, call (212) 555-{1000 + i}") for i in range(60)]
+    bad = [(100 + i, f"version 900-00-{1000 + i}9 and isbn 000-00-0000, x{i}") for i in range(60)]
+    over = [(300, "call +49 212 555 1234 5678 or 1.2.3.4"), (301, "mail a.b [at] example [dot] org now")]
+    docs = spark.createDataFrame(good + bad + over, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
+    assert all(got[i] == "ssn:29:40,tel:47:61" for i, _ in good)
+    assert not any("ssn" in got[i] for i, _ in bad)
+    for i, t in over:
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in got[i].split(","))]
+        base = [s for s in spans if s[0] in pii.BASE]
+        assert not any(k not in pii.BASE and a < e and s < b for k, a, b in spans for _, s, e in base)
+
+
+def test_op10_is_linear_in_the_spans_of_a_text(spark):
+    import time
+
+    text = " ".join(f"a{i}@b.c 123-45-6789" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = pii.find_personal_data(docs).collect()[0]
+    assert got["n_email"] == 50_000 and got["spans"].startswith("email:0:6") and time.time() - began < 60
+    last = got["spans"].rsplit("email:", 1)[1].split(",")[0].split(":")
+    assert text[int(last[0]) : int(last[1])] == "a49999@b.c"
+
+
 def test_op10_em_learns_reliabilities():
     rng = random.Random(4)
     counts = {}
