@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import shutil
@@ -55,11 +56,32 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stash_path = path
     return back
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stashed inside is deleted at the end, when its readers have written their results."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with a unique key of each row, ROW, written once so that it stays the same wherever it is read."""
     return stash(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
@@ -70,9 +92,7 @@ def unstash(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_stash_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(df.sparkSession, path)
 
 
 #: Rows of one key that make it a frequent one, at least.

@@ -102,7 +102,11 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Filters:
-    """Filters from the labelled rows that are not held out."""
+    """Filters from the labelled rows that are not held out.
+
+    Defined cases: rows without text or label teach nothing; without any labelled row the filters know no language; repeated rows
+    count each, but the sample takes all of them or none; languages too rare for the sample's share are taken whole.
+    """
     ship(docs.sparkSession)
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
@@ -189,7 +193,10 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
 
 
 def keep_known(docs: DataFrame, filters: Filters, least_coverage: float = 0.05, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a known language: neither `und` nor nearly without known n-grams."""
+    """The rows of docs, with all their columns, whose text is in a known language: neither `und` nor nearly without known n-grams.
+
+    Defined cases: null, empty and letterless texts go; repeated rows stay or go together; an empty table gives an empty result.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     where = docs.columns.index(text_col)

@@ -508,3 +508,29 @@ def test_pipeline(spark, sf, texts):
     got = corpus_pipeline.run(spark, sf).toPandas()
     assert set(got["doc_id"]) <= set(texts) and got.groupby("sequence_id")["length"].sum().max() <= 2048
     assert os.path.isabs(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Rows of known fate: gibberish, copied lines, near copies, benchmark passages and clean texts, in every stage."""
+    rng = random.Random(21)
+    words = ["house", "garden", "river", "winter", "letter", "morning", "window", "table", "silver", "county", "harbour", "engine", "paper", "minister", "village"]
+    text = lambda n: " ".join(rng.choice(words) + rng.choice(["", "s", "ed", "ing"]) + str(rng.randrange(50)) * (rng.random() < 0.3) for _ in range(n))
+    clean = {i: text(60) for i in range(40)}
+    item = text(30)
+    near = clean[0].rsplit(" ", 2)[0] + " other ends"
+    passage = "\n".join(text(8) for _ in range(4))
+    rows = clean | {50: "1234 !!! 99", 51: None, 52: near, 53: clean[1], 54: text(20) + " " + item + " " + text(20), 55: text(30) + "\n" + passage, 56: passage + "\n" + text(30)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left, now = {}, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        left[name] = {r["doc_id"]: r["text"] for r in now.collect()}
+    assert set(rows) - set(left["language_id"]) == {50, 51}
+    assert set(left["language_id"]) - set(left["line_dedup"]) == {53} and left["line_dedup"][56] == rows[56].split("\n")[-1] and left["line_dedup"][55] == rows[55]
+    assert set(left["line_dedup"]) - set(left["near_dedup"]) == {52}
+    assert set(left["near_dedup"]) - set(left["decontamination"]) == {54}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert set(packed["doc_id"]) == set(left["decontamination"])
