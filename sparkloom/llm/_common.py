@@ -77,6 +77,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, stashed within scratch, which outlives it."""
+    _SCRATCH[-1].remove(df._stash_path)
+    if len(_SCRATCH) > 1:
+        _SCRATCH[-2].append(df._stash_path)
+    return df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,22 +154,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     to the earliest window; empty tables give an empty result; other columns are ignored. Items are held in blocks of
     block_chars characters at most (or one item), each searched over all documents.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("item_text is not null")
-    chars = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(chars / block_chars))
     kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start_word int, n_words int, similarity double"
     out = None
-    for block in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_text"), F.lit(n_blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], threshold, radius))
+    for shared in _blocks(benchmark, threshold, radius, item_col, item_text, block_chars):
         found = _search(docs, shared, schema, id_col, text_col)
         out = found if out is None else out.union(found)
     return out
 
 
+def _blocks(benchmark: DataFrame, threshold: float, radius: int, item_col: str, item_text: str, block_chars: int) -> Iterator[Broadcast]:
+    """The indexes of the items, by blocks of about block_chars characters; one at least."""
+    spark = benchmark.sparkSession
+    ship(spark)
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("item_text is not null")
+    chars = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    n_blocks = max(1, math.ceil(chars / block_chars))
+    for block in range(n_blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_text"), F.lit(n_blocks)) == block).collect()
+        yield spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], threshold, radius))
+
+
 def _search(docs: DataFrame, shared, schema: str, id_col: str, text_col: str) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         items = shared.value
@@ -232,7 +238,27 @@ def _short(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, int, int,
                     yield t, i, int(p - first[t]), n, 1.0
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, in which no item is found. Rows with a null id are judged like others."""
-    found = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__hit")), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS, item_col: str = "item_id",
+               item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, in which no item is found.
+
+    Each row is judged by its own text where it is read, whatever its id; nothing is shuffled. Each block of items is searched in what the
+    blocks before it have kept.
+    """
+    where = docs.columns.index(text_col)
+    schema = docs.schema
+    for shared in _blocks(benchmark, threshold, radius, item_col, item_text, block_chars):
+        docs = docs.mapInArrow(_clean(shared, where), schema)
+    return docs
+
+
+def _clean(shared: Broadcast, where: int):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        for batch in batches:
+            for part in text_slices(batch, batch.schema.names[where]):
+                clean = np.ones(part.num_rows, bool)
+                clean[[x[0] for x in _scan(items, part.column(where))]] = False
+                yield part.filter(pa.array(clean))
+
+    return step
