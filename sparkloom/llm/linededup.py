@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ROW, map_arrow, numbered, ship, spread_join, stash, unstash
+from ._common import ROW, kept, map_arrow, numbered, scratch, ship, spread_join, stash, unstash
 
 #: Words that a repeated run of lines has at least.
 MIN_WORDS = 10
@@ -193,7 +193,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """
     ship(docs.sparkSession)
     docs = numbered(docs.drop("lines_removed"))
-    found = repeated_runs(docs, min_words, id_col, text_col)
+    with scratch(docs.sparkSession):
+        found = kept(stash(repeated_runs(docs, min_words, id_col, text_col), "runs"))
     per_doc = found.groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("__cut")).withColumnRenamed("row", "__cut_row")
     joined = docs.join(per_doc, F.col(ROW) == F.col("__cut_row"), "left").drop(ROW, "__cut_row")
     docs = docs.drop(ROW)
