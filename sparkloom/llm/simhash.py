@@ -378,7 +378,7 @@ def _verified(edges: DataFrame, texts: DataFrame, size: int, similarity: float)
             keep = [len(exact_links([shingle_set(x.as_py(), size), shingle_set(y.as_py(), size)], similarity)[0]) > 0 for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return edges.join(ends[0], "a").join(ends[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(step, "a bigint, b bigint")
+    return edges.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(step, "a bigint, b bigint")
 
 
 def _bucket_links(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -411,7 +411,8 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_co
     10,000 share none), and no pair becomes a link, or spares another pair its test, before its exact similarity is known.
     First each node is tried with the smallest node of the bucket that it shares most keys with, which joins large groups of
     near copies by one link a node; then all pairs of different groups in a bucket are tried, by buckets, or by pairs of
-    parts of large ones. Of buckets with equal members one is searched.
+    parts of large ones. Of buckets with equal members one is searched. Joins whose sides grow with the documents are sorted merges at
+    any size, so that a plan seen on a small table is that of a large one.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -434,7 +435,7 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_co
     often = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "low")
     met = stash(keyed.join(often, F.col("key") == F.col("k")).select("key", "node", "low"), "met")
     texts = stash(
-        docs.select(F.col(row_col).alias("node"), F.coalesce(text_col, F.lit("")).alias("text")).join(met.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi"),
+        docs.select(F.col(row_col).alias("node"), F.coalesce(text_col, F.lit("")).alias("text")).join(met.select(F.col("node").alias("m")).distinct().hint("merge"), F.col("node") == F.col("m"), "left_semi"),
         "texts",
     )
     star = met.where("node <> low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("n"))
@@ -450,7 +451,7 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_co
     # A part of a large bucket meets itself in its pairs with the others.
     live = live.where("chunks = 1 or chunk <> other").select("node", "known", F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = live.join(texts.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).select("key", "node", "known", "text")
+    dealt = live.join(texts.withColumnRenamed("node", "m").hint("merge"), F.col("node") == F.col("m")).select("key", "node", "known", "text")
     more = _bucket_links(dealt.repartition(parts, "key").sortWithinPartitions("key"), size, similarity)
     roots = components(links.union(more)).select(F.col("node").alias("m"), "root")
     return named.join(roots, F.col("node") == F.col("m"), "left").select("row", F.coalesce("root", "node").alias("root"))

@@ -53,7 +53,8 @@ def test_decontam(spark, docs, none):
     assert got == {(4, 1, 1.0), (5, 1, 1.0), (6, 1, 1.0), (None, 4, 1.0)}
     assert decontam.find_contamination(none, items).count() == 0
     assert decontam.find_contamination(docs, items.limit(0)).count() == 0
-    assert decontam.keep_clean(docs, items).count() == len(ROWS) - 6  # the null ids are one document
+    assert decontam.keep_clean(docs, items).count() == len(ROWS) - 5
+    assert decontam.keep_clean(docs, items, block_chars=10).count() == len(ROWS) - 5
     small = decontam.find_contamination(docs, items, block_chars=10).distinct().count()
     assert small == 4
 
