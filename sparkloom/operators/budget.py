@@ -6,23 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_fill(ranked: DataFrame, query: str, rank: str, tokens: str, budget: int) -> DataFrame:
+def greedy_fill(ranked: DataFrame, query: str, rank: str, tokens: str, budget: int | str) -> DataFrame:
     """ranked plus used and included: taken in order, what doesn't fit is skipped and later smaller rows may still fit.
 
     The choice depends on what was taken before, so it is a fold over each query's ranked rows, which the caller has cut
-    to a top-k; a running sum would be wrong.
+    to a top-k; a running sum would be wrong. budget: tokens, or a column that holds each query's.
     """
     rows = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(tokens).cast("bigint").alias("t"))))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<r:int,used:bigint,included:boolean>>").alias("out"))
 
+    most = F.col("most") if isinstance(budget, str) else F.lit(budget)
+    held = [F.max(budget).alias("most")] if isinstance(budget, str) else []
+
     def take(acc, x):
-        fits = acc["used"] + x["t"] <= budget
+        fits = acc["used"] + x["t"] <= most
         used = acc["used"] + F.when(fits, x["t"]).otherwise(F.lit(0).cast("bigint"))
         return F.struct(used.alias("used"), F.array_append(acc["out"], F.struct(x["r"].alias("r"), used.alias("used"), fits.alias("included"))).alias("out"))
 
-    folded = ranked.groupBy(F.col(query).alias("q")).agg(rows.alias("rows")).select("q", F.explode(F.aggregate("rows", start, take, lambda a: a["out"])).alias("x"))
-    folded = folded.select("q", F.col("x.r").alias("r"), "x.used", "x.included")
-    return ranked.join(folded, (F.col(query) == F.col("q")) & (F.col(rank) == F.col("r"))).drop("q", "r")
+    folded = ranked.groupBy(F.col(query).alias("__q")).agg(rows.alias("rows"), *held).select("__q", F.explode(F.aggregate("rows", start, take, lambda a: a["out"])).alias("x"))
+    folded = folded.select("__q", F.col("x.r").alias("__r"), "x.used", "x.included")
+    return ranked.join(folded, (F.col(query) == F.col("__q")) & (F.col(rank) == F.col("__r"))).drop("__q", "__r")
 
 
 def first_per_source(ranked: DataFrame, query: str, source: str, rank: str) -> DataFrame:
