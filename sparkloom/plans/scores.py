@@ -19,6 +19,7 @@ from .queries import _table, query, sql_light, sql_tokens
 ROLES = [("**/assistant/part[13].md", "example"), ("src1*/**", "archive"), ("**/part5.md", "ideation")]
 LAYERS = {"en": "module", "de": "project", "fr": "team", "es": "company"}
 QUERY = {"project": "src0", "module": "en", "team": "t3", "company": "acme"}
+#: Scores are rounded just above the half, as they are products of short decimals and would fall on it.
 MIN_SCORE, PACK_BUDGET = 0.05, 300
 
 _LAYER = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LAYERS.items()) + " ELSE 'unknown' END"
@@ -55,7 +56,7 @@ _SCORED = rf"""{_CHUNKS}, parts AS (
   FROM factors
 )"""
 _RANKED = f"""{_SCORED}, ranked AS (
-  SELECT *, round(final, 5) AS final_score, round(final / sqrt(CASE WHEN tokens > 0 THEN tokens ELSE 1 END), 6) AS packing_score FROM scored
+  SELECT *, round(final + 1e-9, 6) AS final_score, round(final / sqrt(CASE WHEN tokens > 0 THEN tokens ELSE 1 END), 6) AS packing_score FROM scored
 )"""
 
 
@@ -103,7 +104,7 @@ def scored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scored_chunks(spark, sf_dir)
-    return out.select("*", F.round("final", 5).alias("final_score"), F.round(S.packing_score(F.col("final"), F.col("tokens")), 6).alias("packing_score"))
+    return out.select("*", F.round(F.col("final") + 1e-9, 6).alias("final_score"), F.round(S.packing_score(F.col("final"), F.col("tokens")), 6).alias("packing_score"))
 
 
 @query(f"""WITH {_RANKED} SELECT q, id, role, mode, layer, round(bm25, 6) AS bm25, round(heading_match, 6) AS heading_match, CAST(scope_match AS DOUBLE) AS scope_match, CAST(mention_overlap AS DOUBLE) AS mention_overlap,
@@ -116,10 +117,10 @@ def score_chunk(spark, sf_dir):
     )
 
 
-@query(f"WITH {_RANKED} SELECT q, id, round(card_final, 6) AS final_score, greatest(1, CAST(ceil((length(body) + length(heading)) / 4) AS INTEGER)) AS tokens, round(card_final / sqrt(greatest(1, ceil((length(body) + length(heading)) / 4))), 6) AS packing_score FROM ranked")
+@query(f"WITH {_RANKED} SELECT q, id, round(card_final + 1e-9, 6) AS final_score, greatest(1, CAST(ceil((length(body) + length(heading)) / 4) AS INTEGER)) AS tokens, round(card_final / sqrt(greatest(1, ceil((length(body) + length(heading)) / 4))), 6) AS packing_score FROM ranked")
 def score_card(spark, sf_dir):
     tokens = F.greatest(F.lit(1), F.ceil((F.length("body") + F.length("heading")) / 4).cast("int"))
-    out = scored_chunks(spark, sf_dir).select("q", "id", F.round("card_final", 6).alias("final_score"), tokens.alias("tokens"), "card_final")
+    out = scored_chunks(spark, sf_dir).select("q", "id", F.round(F.col("card_final") + 1e-9, 6).alias("final_score"), tokens.alias("tokens"), "card_final")
     return out.select("q", "id", "final_score", "tokens", F.round(S.packing_score(F.col("card_final"), F.col("tokens")), 6).alias("packing_score"))
 
 
