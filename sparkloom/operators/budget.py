@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def greedy_fill(ranked: DataFrame, query: str, rank: str, tokens: str, budget: int | str) -> DataFrame:
     """ranked plus used and included: taken in order, what doesn't fit is skipped and later smaller rows may still fit.
 
-    The choice depends on what was taken before, so it is a fold over each query's ranked rows, which the caller has cut
-    to a top-k; a running sum would be wrong. budget: tokens, or a column that holds each query's.
+    The choice depends on what was taken before, so a running sum would be wrong. Rows come sorted by query and rank and pass one
+    by one; all that is held is the tokens used so far. budget: tokens, or a column that holds each query's.
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(tokens).cast("bigint").alias("t"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<r:int,used:bigint,included:boolean>>").alias("out"))
-
-    most = F.col("most") if isinstance(budget, str) else F.lit(budget)
-    held = [F.max(budget).alias("most")] if isinstance(budget, str) else []
-
-    def take(acc, x):
-        fits = acc["used"] + x["t"] <= most
-        used = acc["used"] + F.when(fits, x["t"]).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(used.alias("used"), F.array_append(acc["out"], F.struct(x["r"].alias("r"), used.alias("used"), fits.alias("included"))).alias("out"))
-
-    folded = ranked.groupBy(F.col(query).alias("__q")).agg(rows.alias("rows"), *held).select("__q", F.explode(F.aggregate("rows", start, take, lambda a: a["out"])).alias("x"))
-    folded = folded.select("__q", F.col("x.r").alias("__r"), "x.used", "x.included")
-    return ranked.join(folded, (F.col(query) == F.col("__q")) & (F.col(rank) == F.col("__r"))).drop("__q", "__r")
+    schema = T.StructType([*ranked.schema.fields, T.StructField("used", T.LongType()), T.StructField("included", T.BooleanType())])
+    at = {c: i for i, c in enumerate(ranked.columns)}
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = None, 0
+        for batch in batches:
+            keys, sizes = batch.column(at[query]).to_pylist(), batch.column(at[tokens]).to_pylist()
+            most = batch.column(at[budget]).to_pylist() if isinstance(budget, str) else [budget] * len(keys)
+            sums, fits = [], []
+            for i, key in enumerate(keys):
+                if last is None or key != last[0]:
+                    last, used = (key,), 0
+                fit = used + sizes[i] <= most[i]
+                used += sizes[i] if fit else 0
+                sums.append(used)
+                fits.append(fit)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64()), pa.array(fits, pa.bool_())], names=[*batch.schema.names, "used", "included"])
+
+    return ranked.repartition(query).sortWithinPartitions(query, rank).mapInArrow(step, schema)
 
 
 def first_per_source(ranked: DataFrame, query: str, source: str, rank: str) -> DataFrame:
     """ranked plus new_rank: each source's first row before any repeat, order kept otherwise; only with two sources or more."""
     nth = F.row_number().over(Window.partitionBy(query, source).orderBy(rank))
-    several = F.size(F.collect_set(source).over(Window.partitionBy(query))) > 1
+    several = F.min(source).over(Window.partitionBy(query)) != F.max(source).over(Window.partitionBy(query))
     out = ranked.withColumn("nth", nth).withColumn("later", several & (F.col("nth") > 1))
     return out.withColumn("new_rank", F.row_number().over(Window.partitionBy(query).orderBy("later", rank))).drop("nth", "later")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -12,6 +13,8 @@ FIELD_WEIGHTS = {"title": 2.5, "heading_path": 1.5, "body": 1.0}
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 ALL_TERMS, TITLE_TERMS, LAST_TWO = 1.5, 1.6, 1.3
 RRF_K = 60
+#: Distinct terms of all queries that are broadcast, a few megabytes; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 
 
 def postings(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
@@ -27,43 +30,74 @@ def postings(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
 
 
 def query_terms(tasks: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, n_terms): distinct terms of each task."""
+    """(key, n_terms, place, term): distinct terms of each task in order."""
     terms = F.array_distinct(F.filter(tokenize(F.col(text)), lambda t: t.rlike("^[a-z0-9_]+$")))
     found = tasks.select(key, terms.alias("terms"))
-    return found.select(key, F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    return found.select(key, F.size("terms").alias("n_terms"), F.posexplode("terms").alias("place", "term"))
 
 
-def term_counts(index: DataFrame, key: str) -> DataFrame:
-    """(key, term, f, title_f): weighted and title frequencies, one row for each document and term."""
+def _weight() -> Column:
     weight = F.lit(0.0)
     for field, w in FIELD_WEIGHTS.items():
         weight = F.when(F.col("field") == field, w).otherwise(weight)
-    return index.groupBy(key, "term").agg(F.sum(weight).alias("f"), F.sum(F.when(F.col("field") == "title", 1).otherwise(0)).alias("title_f"))
+    return weight
+
+
+def term_counts(index: DataFrame, key: str) -> DataFrame:
+    """(key, term, f, title_f): weighted and title frequencies, one row for each document and term."""
+    return index.groupBy(key, "term").agg(F.sum(_weight()).alias("f"), F.sum(F.when(F.col("field") == "title", 1).otherwise(0)).alias("title_f"))
+
+
+def occurrences(index: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, field, term, pos, n): one row for each place where a wanted term stands, and one for all other tokens of a field together, with
+    their number and neither term nor place. Kept on disk, so that an index which is tokenised as it is read is read once.
+
+    Tokens are told apart before anything is shuffled: the wanted terms are broadcast, unless they are more than BROADCAST_TERMS.
+    """
+    wanted = terms.select(F.col("term").alias("t")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    hit = F.col("t").isNotNull()
+    told = index.join(wanted, F.col("term") == F.col("t"), "left").select(key, "field", F.when(hit, F.col("term")).alias("term"), F.when(hit, F.col("pos")).alias("pos"))
+    return told.groupBy(key, "field", "term", "pos").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.DISK_ONLY)
+
+
+def phrase_places(found: DataFrame, terms: DataFrame, key: str, query: str) -> DataFrame:
+    """(query, key) where the query's last two terms follow each other in one field. found: occurrences of the terms."""
+    last = lambda n: F.max(F.when(F.col("place") == F.col("n_terms") - n, F.col("term")))
+    tails = terms.where("n_terms > 1").groupBy(query).agg(last(2).alias("first"), last(1).alias("last"))
+    places = found.where("term is not null")
+    after = places.select(F.col(key).alias("k"), F.col("field").alias("f"), (F.col("pos") - 1).alias("p"), F.col("term").alias("t"))
+    start = places.select(key, "field", "pos", "term").join(tails, F.col("term") == F.col("first"))
+    same = (F.col(key) == F.col("k")) & (F.col("field") == F.col("f")) & (F.col("pos") == F.col("p")) & (F.col("last") == F.col("t"))
+    return start.join(after, same).select(query, key).distinct()
 
 
 def bm25(index: DataFrame, terms: DataFrame, key: str, query: str) -> DataFrame:
     """(query, key, raw, matched, title_matched, n_terms, bm25) of every document that has a term of the query.
 
-    The statistics are of the whole index. bm25 is raw with the boosts for all terms and for all terms in the title,
-    over the largest of its query.
+    The statistics are of the whole index. bm25 is raw with the boosts for all terms, for all terms in the title, and, where terms have
+    places, for the last two terms as a phrase, over the largest of its query.
     """
-    counts = term_counts(index, key)
-    lengths = index.groupBy(key).agg(F.count(F.lit(1)).alias("len"))
-    n_docs, total = index.agg(F.count_distinct(key), F.count(F.lit(1))).first()
-    wanted = terms.select(F.col("term").alias("t")).distinct()
-    held = counts.join(wanted, F.col("term") == F.col("t"), "left_semi")
+    found = occurrences(index, terms, key)
+    held = term_counts(found.where("term is not null"), key)
+    lengths = found.groupBy(key).agg(F.sum("n").alias("len"))
+    whole = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("total"))  # one row
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("term", "df_term")
     scored = (
-        held.join(terms, "term").join(df, F.col("term") == F.col("df_term")).join(lengths, key)
-        .withColumn("idf", F.greatest(F.lit(IDF_FLOOR), F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))))
-        .withColumn("s", F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / (total / max(1, n_docs)))))
+        held.join(terms, "term").join(df, F.col("term") == F.col("df_term")).join(lengths, key).join(F.broadcast(whole))
+        .withColumn("idf", F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
+        .withColumn("s", F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / (F.col("total") / F.col("n_docs")))))
     )
     out = scored.groupBy(query, key, "n_terms").agg(
         F.sum("s").alias("raw"), F.count(F.lit(1)).alias("matched"), F.sum(F.when(F.col("title_f") > 0, 1).otherwise(0)).alias("title_matched")
     )
     every = (F.col("matched") == F.col("n_terms")) & (F.col("n_terms") > 1)
     boosted = F.col("raw") * F.when(every, ALL_TERMS).otherwise(1.0) * F.when(F.col("title_matched") == F.col("n_terms"), TITLE_TERMS).otherwise(1.0)
-    out = out.withColumn("boosted", boosted)
+    if "place" in terms.columns:
+        phrase = phrase_places(found, terms, key, query).select(F.col(query).alias("pq"), F.col(key).alias("pk"))
+        out = out.join(phrase, (F.col(query) == F.col("pq")) & (F.col(key) == F.col("pk")), "left")
+        boosted = boosted * F.when(F.col("pq").isNotNull(), LAST_TWO).otherwise(1.0)
+    out = out.withColumn("boosted", boosted).drop("pq", "pk")
     best = out.groupBy(query).agg(F.max("boosted").alias("best")).withColumnRenamed(query, "best_query")
     return out.join(best, F.col(query) == F.col("best_query")).withColumn("bm25", F.col("boosted") / F.col("best")).drop("best", "best_query")
 
@@ -85,7 +119,10 @@ def fuse(paths: DataFrame, query: str, source: str, k: int = RRF_K) -> DataFrame
 
 def token_weights(terms: DataFrame, index: DataFrame, key: str, n_docs: int) -> DataFrame:
     """(term, df, weight): how discriminating each query token is."""
-    df = index.select(key, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = terms.select(F.col("term").alias("t")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    held = index.select(key, "term").join(wanted, F.col("term") == F.col("t"), "left_semi")
+    df = held.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     out = terms.select("term").distinct().join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     weight = 0.20 + F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1.0)) / F.log(F.lit(n_docs + 1.0))
     return out.withColumn("weight", F.when(F.col("df") == 0, F.lit(0.55)).otherwise(F.greatest(F.lit(0.18), F.least(F.lit(1.0), weight))))

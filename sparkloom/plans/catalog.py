@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
 from ..functions import paths as P
-from .queries import _PATH, _TOP, _ranked, _table, query
+from .queries import _PATH, _ALL_RANKED, _ranked, _table, query
 
 
 def _q(pattern: str) -> str:
@@ -86,14 +86,14 @@ def hierarchy_inheritance(spark, sf_dir):
     return joined.select("page_id", F.round(F.col("score") + F.when(F.col("best").isNull(), 0.0).otherwise(gain), 6).alias("score"), F.col("best").isNotNull().alias("landing"))
 
 
-@query(f"""WITH {_TOP} SELECT item_id, max(CASE rank WHEN 1 THEN score END) AS top1, round(max(CASE rank WHEN 1 THEN score END) - max(CASE rank WHEN 2 THEN score END), 6) AS margin12,
+@query(f"""WITH {_ALL_RANKED} SELECT item_id, max(CASE rank WHEN 1 THEN score END) AS top1, round(max(CASE rank WHEN 1 THEN score END) - max(CASE rank WHEN 2 THEN score END), 6) AS margin12,
   round(max(CASE rank WHEN 1 THEN score END) - max(CASE rank WHEN 3 THEN score END), 6) AS margin13 FROM ranked GROUP BY 1""")
 def adjacent_margins(spark, sf_dir):
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
     return _ranked(spark, sf_dir).groupBy("item_id").agg(at(1).alias("top1"), F.round(at(1) - at(2), 6).alias("margin12"), F.round(at(1) - at(3), 6).alias("margin13"))
 
 
-@query(f"""WITH {_TOP}, s AS (SELECT item_id, source, dense_rank() OVER (PARTITION BY item_id ORDER BY min(rank)) AS source_rank FROM ranked GROUP BY 1, 2)
+@query(f"""WITH {_ALL_RANKED}, s AS (SELECT item_id, source, dense_rank() OVER (PARTITION BY item_id ORDER BY min(rank)) AS source_rank FROM ranked GROUP BY 1, 2)
 SELECT item_id, doc_id, source_rank * 100 + row_number() OVER (PARTITION BY item_id, source ORDER BY rank) - 1 AS priority FROM ranked JOIN s USING (item_id, source)""")
 def source_priority(spark, sf_dir):
     top = _ranked(spark, sf_dir).withColumn("first", F.min("rank").over(Window.partitionBy("item_id", "source")))

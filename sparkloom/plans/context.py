@@ -14,7 +14,7 @@ from ..functions import stemmer
 from ..operators import anchors, ranking
 from ..sources import markdown
 from .catalog import _q
-from .queries import _PATH, _TOP, _index, _ranked, _table, query, sql_tokens
+from .queries import _PATH, _ALL_RANKED, _index, _ranked, _table, query, sql_tokens
 
 _SLOTS = """s AS (
   SELECT l_orderkey AS pack, l_linenumber AS slot, l_returnflag <> 'N' AS required, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linestatus = 'O' END AS task_critical,
@@ -67,7 +67,7 @@ def pack_readiness(spark, sf_dir):
     return R.pack_readiness(_slots(spark, sf_dir), "pack", "slot")
 
 
-@query(f"""WITH {_TOP}, m AS (SELECT item_id, count(*) AS n, max(CASE rank WHEN 1 THEN score END) AS t1, max(CASE rank WHEN 2 THEN score END) AS t2, max(CASE rank WHEN 3 THEN score END) AS t3 FROM ranked GROUP BY 1),
+@query(f"""WITH {_ALL_RANKED}, m AS (SELECT item_id, count(*) AS n, max(CASE rank WHEN 1 THEN score END) AS t1, max(CASE rank WHEN 2 THEN score END) AS t2, max(CASE rank WHEN 3 THEN score END) AS t3 FROM ranked GROUP BY 1),
   q AS (SELECT item_id, coalesce(n, 0) AS n, t1, t2, t3, regexp_matches(text, {_q(I.FILE_PATH)}) AND regexp_matches(text, '[A-Za-z0-9]') AS anchored, NOT regexp_matches(text, '[A-Za-z0-9]') AS bare FROM benchmark LEFT JOIN m USING (item_id))
 SELECT item_id, n AS n_ranked, CASE WHEN n = 0 THEN 'empty' WHEN bare THEN CASE WHEN t1 < 0.05 THEN 'empty' ELSE 'uncertain' END
   WHEN NOT anchored AND ((n >= 2 AND t1 - t2 < 0.12) OR (n >= 3 AND t1 - t3 < 0.15)) THEN 'uncertain' WHEN t1 >= CASE WHEN anchored THEN 0.5 ELSE 0.95 END THEN 'confident' WHEN t1 < 0.05 THEN 'empty' ELSE 'uncertain' END AS confidence FROM q""")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -59,28 +59,32 @@ def sql_light(col: str) -> str:
 
 
 _INDEX = f"""
-idx AS (
-  SELECT doc_id, 'title' AS field, unnest({sql_tokens("source")}) AS term FROM documents
-  UNION ALL SELECT doc_id, 'body', unnest({sql_tokens("text")}) FROM documents
-), counts AS (
+tok AS (SELECT doc_id, 'title' AS field, {sql_tokens("source")} AS t FROM documents UNION ALL SELECT doc_id, 'body', {sql_tokens("text")} FROM documents),
+idx AS (SELECT doc_id, field, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM tok), counts AS (
   SELECT doc_id, term, sum(CASE field WHEN 'title' THEN 2.5 ELSE 1.0 END) AS f, sum(CASE field WHEN 'title' THEN 1 ELSE 0 END) AS title_f FROM idx GROUP BY 1, 2
 ), lens AS (SELECT doc_id, count(*) AS len FROM idx GROUP BY 1),
 tot AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM lens),
-task AS (SELECT item_id, list_distinct({sql_tokens("text")}) AS terms FROM benchmark),
+asked AS (SELECT item_id, {sql_tokens("text")} AS t FROM benchmark),
+task AS (SELECT item_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS terms FROM asked),
 terms AS (SELECT item_id, len(terms) AS n_terms, unnest(terms) AS term FROM task),
 df AS (SELECT term, count(*) AS df FROM counts GROUP BY 1),
 scored AS (
   SELECT item_id, doc_id, n_terms, count(*) AS matched, sum(CASE WHEN title_f > 0 THEN 1 ELSE 0 END) AS title_matched,
     sum(greatest(1e-6, ln((n_docs - df + 0.5) / (df + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg_len))) AS raw
   FROM counts JOIN terms USING (term) JOIN df USING (term) JOIN lens USING (doc_id), tot GROUP BY 1, 2, 3
+), phrase AS (
+  SELECT DISTINCT item_id, a.doc_id, true AS phrase FROM (SELECT item_id, terms[len(terms) - 1] AS f, terms[len(terms)] AS l FROM task WHERE len(terms) > 1)
+  JOIN idx a ON a.term = f JOIN idx b ON b.doc_id = a.doc_id AND b.field = a.field AND b.pos = a.pos + 1 AND b.term = l
 ), boosted AS (
-  SELECT *, raw * CASE WHEN matched = n_terms AND n_terms > 1 THEN 1.5 ELSE 1.0 END * CASE WHEN title_matched = n_terms THEN 1.6 ELSE 1.0 END AS boosted FROM scored
+  SELECT scored.*, raw * CASE WHEN matched = n_terms AND n_terms > 1 THEN 1.5 ELSE 1.0 END * CASE WHEN title_matched = n_terms THEN 1.6 ELSE 1.0 END * CASE WHEN phrase THEN 1.3 ELSE 1.0 END AS boosted
+  FROM scored LEFT JOIN phrase USING (item_id, doc_id)
 ), normed AS (SELECT *, boosted / max(boosted) OVER (PARTITION BY item_id) AS bm25 FROM boosted)"""
-_TOP = f"""{_INDEX},
+#: Ranks of all scored documents.
+_ALL_RANKED = f"""{_INDEX},
 ranked AS (
   SELECT item_id, doc_id, source, CAST(ceil(length(text) / 4) AS INTEGER) AS tokens, round(0.7 * bm25, 6) AS score,
     row_number() OVER (PARTITION BY item_id ORDER BY round(0.7 * bm25, 6) DESC, doc_id) AS rank
-  FROM normed JOIN documents USING (doc_id) QUALIFY rank <= {TOP}
+  FROM normed JOIN documents USING (doc_id)
 )"""
 
 
@@ -94,11 +98,15 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.bm25(_index(spark, sf_dir), terms, "doc_id", "item_id")
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, top: int | None = None) -> DataFrame:
+    """All scored documents of each task with their ranks, or the first ones."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", T.token_estimate(F.col("text")).alias("tokens"))
     scored = _scored(spark, sf_dir).select("item_id", "doc_id", F.round(S.final_score(F.col("bm25")), 6).alias("score"))
-    top = ranking.top_per_query(scored, "item_id", TOP, F.desc("score"), "doc_id")
-    return top.join(docs, "doc_id").select("item_id", "doc_id", "source", "tokens", "score", "rank")
+    if top:
+        ranked = ranking.top_per_query(scored, "item_id", top, F.desc("score"), "doc_id")
+    else:
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")))
+    return ranked.join(docs, "doc_id").select("item_id", "doc_id", "source", "tokens", "score", "rank")
 
 
 @query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, array_to_string(t[1:12], ' ') AS head FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
@@ -118,12 +126,12 @@ def bm25f_scores(spark, sf_dir):
     return _scored(spark, sf_dir).select("item_id", "doc_id", "matched", F.round("raw", 6).alias("raw"), F.round("bm25", 6).alias("bm25"))
 
 
-@query(f"WITH {_TOP} SELECT item_id, doc_id, source, tokens, score, rank FROM ranked")
+@query(f"WITH {_ALL_RANKED} SELECT item_id, doc_id, source, tokens, score, rank FROM ranked WHERE rank <= {TOP}")
 def final_score_topk(spark, sf_dir):
-    return _ranked(spark, sf_dir).withColumn("rank", F.col("rank").cast("bigint"))
+    return _ranked(spark, sf_dir, TOP).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query(f"""WITH RECURSIVE {_TOP}, fill AS (
+@query(f"""WITH RECURSIVE {_ALL_RANKED}, fill AS (
   SELECT item_id, rank, tokens <= {BUDGET} AS included, CASE WHEN tokens <= {BUDGET} THEN tokens ELSE 0 END AS used FROM ranked WHERE rank = 1
   UNION ALL
   SELECT r.item_id, r.rank, f.used + r.tokens <= {BUDGET}, f.used + CASE WHEN f.used + r.tokens <= {BUDGET} THEN r.tokens ELSE 0 END
@@ -134,7 +142,7 @@ def pack_greedy_budget(spark, sf_dir):
     return filled.select("item_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "tokens", "score", "used", F.when(F.col("included"), "included").otherwise("omitted").alias("disposition"))
 
 
-@query(f"""WITH {_TOP}, n AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY rank) AS nth FROM ranked),
+@query(f"""WITH {_ALL_RANKED}, n AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY rank) AS nth FROM ranked),
   m AS (SELECT *, (SELECT count(DISTINCT source) FROM ranked r WHERE r.item_id = n.item_id) > 1 AND nth > 1 AS later FROM n)
   SELECT item_id, doc_id, source, rank, row_number() OVER (PARTITION BY item_id ORDER BY later, rank) AS new_rank FROM m""")
 def pack_first_per_source(spark, sf_dir):
@@ -142,18 +150,16 @@ def pack_first_per_source(spark, sf_dir):
     return out.select("item_id", "doc_id", "source", F.col("rank").cast("bigint").alias("rank"), F.col("new_rank").cast("bigint").alias("new_rank"))
 
 
-@query(f"WITH {_TOP} SELECT item_id, source, CAST(min(rank) AS BIGINT) AS best_rank, max(score) AS best_score, count(*) AS contributors FROM ranked GROUP BY 1, 2")
+@query(f"WITH {_ALL_RANKED} SELECT item_id, source, CAST(min(rank) AS BIGINT) AS best_rank, max(score) AS best_score, count(*) AS contributors FROM ranked GROUP BY 1, 2")
 def source_aggregate(spark, sf_dir):
     return ranking.source_candidates(_ranked(spark, sf_dir), "item_id", "source").withColumn("best_rank", F.col("best_rank").cast("bigint"))
 
 
-@query(f"""WITH {_TOP}, paths AS (
+@query(f"""WITH {_ALL_RANKED}, paths AS (
   SELECT item_id, source, 'lexical' AS path, min(rank) AS rank FROM ranked GROUP BY 1, 2
   UNION ALL SELECT item_id, source, 'breadth', row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, source) FROM ranked GROUP BY 1, 2
 ) SELECT item_id, source, round(sum(1.0 / (60 + rank)), 6) AS fused, count(DISTINCT path) AS n_paths FROM paths GROUP BY 1, 2""")
 def rrf_fusion(spark, sf_dir):
-    from pyspark.sql import Window
-
     found = ranking.source_candidates(_ranked(spark, sf_dir), "item_id", "source")
     lexical = found.select("item_id", "source", F.lit("lexical").alias("path"), F.col("best_rank").alias("rank"))
     breadth = found.select("item_id", "source", F.lit("breadth").alias("path"), F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("contributors"), "source")).alias("rank"))
@@ -272,7 +278,7 @@ def html_blocks(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"), F.array_join(html.list_items(F.col("html")), "|").alias("items"))
 
 
-@query(f"""WITH {_TOP}, truth AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+@query(f"""WITH {_ALL_RANKED}, truth AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 hit AS (SELECT item_id, min(rank) AS r FROM ranked JOIN truth USING (item_id, doc_id) GROUP BY 1), cases AS (SELECT DISTINCT item_id FROM truth)
 SELECT count(*) AS cases, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END), 6) AS top3, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM cases LEFT JOIN hit USING (item_id)""")
 def eval_mrr(spark, sf_dir):
