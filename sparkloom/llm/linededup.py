@@ -196,7 +196,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     with scratch(docs.sparkSession):
         found = kept(stash(repeated_runs(docs, min_words, id_col, text_col), "runs"))
     per_doc = found.groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("__cut")).withColumnRenamed("row", "__cut_row")
-    joined = docs.join(per_doc, F.col(ROW) == F.col("__cut_row"), "left").drop(ROW, "__cut_row")
+    # As many rows may be cut as there are documents, so this is a sorted merge at any size.
+    joined = docs.join(per_doc.hint("merge"), F.col(ROW) == F.col("__cut_row"), "left").drop(ROW, "__cut_row")
     docs = docs.drop(ROW)
     names = docs.columns
     where = names.index(text_col)
