@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sparkloom.plans import catalog, chunking, context, ledger, scores, selection  # noqa: F401  (they register their queries)
+from sparkloom.plans import catalog, chunking, context, fusion, ledger, review, scores, selection  # noqa: F401  (they register their queries)
 from sparkloom.plans import queries as plan
 
 
