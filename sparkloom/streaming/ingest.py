@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..sources.store import KeyedTable
 
 
-def upsert_stream(documents: DataFrame, table: KeyedTable, checkpoint: str, text: str = "text") -> DataStreamWriter:
-    """A writer that merges new and changed documents; unchanged ones, by hash, are skipped. Start it with a trigger."""
+def upsert_stream(documents: DataFrame, table: KeyedTable, checkpoint: str, text: str = "text", order: str | None = None) -> DataStreamWriter:
+    """A writer that merges new and changed documents; unchanged ones, by hash, are skipped. Start it with a trigger.
+
+    Of several rows of a key in one batch the last by order counts, and then the greatest hash, so that a batch that is run again gives the same.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        latest = batch.withColumn("content_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).dropDuplicates([table.key])
+        latest = batch.withColumn("content_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+        first = F.row_number().over(Window.partitionBy(table.key).orderBy(*([F.desc(order)] if order else []), F.desc("content_hash")))
+        latest = latest.withColumn("__n", first).where("__n = 1").drop("__n")
         old = table.read()
         if old is not None:
             known = old.select(table.key, "content_hash")
             latest = latest.join(known, [table.key, "content_hash"], "left_anti")
-        table.upsert(latest)
+        if not latest.isEmpty():
+            table.upsert(latest)
 
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
