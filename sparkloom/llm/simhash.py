@@ -13,13 +13,15 @@ so what leaves it is linear in its size. Shards over ``shard_rows`` rows are spl
 is searched in its own task, so no group is gathered in one task whatever its size. A chunk has between ``shard_rows``
 and CHUNK_MOST rows.
 
-A fingerprint can't tell similarity 0.8 from 0.6. Where groups are wanted by a similarity, similar_rows finds candidates by
-equal minima of their shingles and tests each exactly.
+Where groups are wanted by a similarity, similar_rows goes the same way with wider fingerprints: shards are projections with distance zero,
+as many as it takes for pairs of that similarity to meet, each is searched by its own vantage-point tree, and as a fingerprint can't
+tell similarity 0.8 from 0.6, what the trees find is tested exactly.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,8 +92,14 @@ def block_masks(blocks: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
 
 
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits, row by row; rows are one word or several."""
+    bits = np.bitwise_count(x ^ y)
+    return bits.astype(np.int64) if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
 class VantageForest:
-    """Exact range search by Hamming distance in many sets of 64-bit fingerprints at once: one vantage-point tree for each set.
+    """Exact range search by Hamming distance in many sets of fingerprints at once, of 64 bits or rows of several words: one vantage-point tree for each set.
 
     Each node holds one point of its set, the vantage point; the others are sorted by their distance to it and halved, and each half
     keeps its least and greatest distance. All trees are built level by level together.
@@ -117,7 +125,7 @@ class VantageForest:
                 break
             set_of = np.repeat(np.arange(len(start)), size)
             at = np.arange(len(set_of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-            d = np.bitwise_count(self.words[order[at]] ^ np.repeat(self.words[vantage], size)).astype(np.int64)
+            d = _distance(self.words[order[at]], np.repeat(self.words[vantage], size, axis=0))
             by = np.lexsort((d, set_of))
             order[at], d = order[at][by], d[by]
             first = np.cumsum(size) - size
@@ -141,7 +149,7 @@ class VantageForest:
         while todo:
             q, node = todo.pop()
             point = self.point[node]
-            d = np.bitwise_count(queries[q] ^ self.words[point]).astype(np.int64)
+            d = _distance(queries[q], self.words[point])
             close = d <= radius
             if close.any():
                 yield q[close], point[close]
@@ -157,6 +165,11 @@ class VantageForest:
 
 def _forest(known: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest, taken from batches of links (a, b). Nodes of one known group are joined from the start."""
+    return _joined(known, pairs)[1:]
+
+
+def _joined(known: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The root of each node, and the links that _forest gives."""
     _, first, inverse = np.unique(known, return_index=True, return_inverse=True)
     root = first[inverse]
     kept_a, kept_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -178,7 +191,7 @@ def _forest(known: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -
                 if (up == root).all():
                     break
                 root = up
-    return np.concatenate(kept_a), np.concatenate(kept_b)
+    return root, np.concatenate(kept_a), np.concatenate(kept_b)
 
 
 def _shard_edges(shards: list[dict], radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,6 +229,58 @@ def _often(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(step, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _parts(spark, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 2_000_000)
+
+
+def _dealt(keyed: DataFrame, large: DataFrame, parts: int) -> DataFrame:
+    """Rows of keyed (key, node and others) with their side, a shard after the other. large: key and number of chunks of the shards that are split."""
+    few = large.count() <= LARGE_SHARDS
+    met = keyed.join(F.broadcast(large) if few else large, F.col("key") == F.col("large"), "left")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    met = met.withColumn("chunk", chunk).withColumn("other", F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(-1)))))
+    low, high = F.least(F.col("chunk"), F.col("other")), F.greatest(F.col("chunk"), F.col("other"))
+    # A shard of few rows keeps its key; each pair of chunks of a large one is a key of its own.
+    dealt = met.select(
+        *[c for c in keyed.columns if c != "key"], F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"),
+        F.when((F.col("other") < 0) | (F.col("chunk") == F.col("other")), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
+    )
+    return dealt.repartition(parts, "key").sortWithinPartitions("key")
+
+
+def _shards(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[dict]]:
+    """Lists of whole shards of two rows or more, some ten thousand rows at once; rows come sorted by key."""
+
+    def each() -> Iterator[dict]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names}
+            # Signed numbers would give the bits of absolute values.
+            cols = {n: v.view(np.uint64) if n.startswith("word") else v for n, v in cols.items()}
+            if rest is not None:
+                cols = {n: np.concatenate((rest[n], v)) for n, v in cols.items()}
+            cuts = [0, *(np.flatnonzero(cols["key"][1:] != cols["key"][:-1]) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a > 1:
+                    yield {n: v[a:b] for n, v in cols.items()}
+            rest = {n: v[cuts[-1] :] for n, v in cols.items()}
+        if rest is not None and len(rest["node"]) > 1:
+            yield rest
+
+    held: list[dict] = []
+    count = 0
+    for g in each():
+        held.append(g)
+        count += len(g["node"])
+        if count >= 1 << 15:
+            yield held
+            held, count = [], 0
+    if held:
+        yield held
+
+
 def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, shard_rows: int = 512) -> DataFrame:
     """Links (a, b), a > b, whose connected components are those of all links. nodes: node and fp, distinct.
 
@@ -229,55 +294,15 @@ def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, sh
     choices = [sum(masks[k] for k in kept) for kept in itertools.combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in choices]
     cells = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)]
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), rows * len(cells) // 2_000_000)
+    parts = _parts(spark, rows * len(cells))
     keyed = nodes.repartition(parts, "node").select("node", F.col("fp").alias("word"), F.explode(F.array(*cells)).alias("key"))
     size = F.greatest(F.lit(shard_rows), F.least(F.lit(CHUNK_MOST), F.col("n") / 32))
     large = stash(_often(keyed.select("key")).where(F.col("n") > shard_rows).select(F.col("key").alias("large"), F.ceil(F.col("n") / size).cast("int").alias("chunks")), "large")
-    few = large.count() <= LARGE_SHARDS
-    met = keyed.join(F.broadcast(large) if few else large, F.col("key") == F.col("large"), "left")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    met = met.withColumn("chunk", chunk).withColumn("other", F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(-1)))))
-    low, high = F.least(F.col("chunk"), F.col("other")), F.greatest(F.col("chunk"), F.col("other"))
-    # A shard of few rows keeps its key; each pair of chunks of a large one is a key of its own.
-    dealt = met.select(
-        "node", "word", F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"),
-        F.when((F.col("other") < 0) | (F.col("chunk") == F.col("other")), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
-    )
-    dealt = dealt.repartition(parts, "key").sortWithinPartitions("key")
+    dealt = _dealt(keyed, large, parts)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "node", "word", "side")
-
-        def shards() -> Iterator[dict]:
-            rest = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                cols = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names}
-                cols["word"] = cols["word"].view(np.uint64)  # signed numbers would give the bits of absolute values
-                if rest is not None:
-                    cols = {n: np.concatenate((rest[n], v)) for n, v in cols.items()}
-                cuts = [0, *(np.flatnonzero(cols["key"][1:] != cols["key"][:-1]) + 1).tolist()]
-                for a, b in zip(cuts, cuts[1:]):
-                    if b - a > 1:
-                        yield {n: v[a:b] for n, v in cols.items()}
-                rest = {n: v[cuts[-1] :] for n, v in cols.items()}
-            if rest is not None and len(rest["node"]) > 1:
-                yield rest
-
-        def edges() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            held: list[dict] = []
-            count = 0
-            for g in shards():
-                held.append(g)
-                count += len(g["node"])
-                if count >= 1 << 15:
-                    yield _shard_edges(held, radius)
-                    held, count = [], 0
-            if held:
-                yield _shard_edges(held, radius)
-
-        for a, b in edges():
+        for held in _shards(batches, ("key", "node", "word", "side")):
+            a, b = _shard_edges(held, radius)
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
@@ -311,12 +336,22 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-#: Minima of a text's shingles: BANDS keys of BAND_ROWS minima each. At similarity s two texts share a key with probability
-#: 1 - (1 - s**BAND_ROWS)**BANDS: 0.9998 at 0.8, 0.74 at 0.6, 0.36 at 0.5.
-BANDS, BAND_ROWS = 28, 6
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Most texts that meet in one part of a large bucket.
-BUCKET_ROWS = 256
+#: Words of a wide fingerprint: the first are searched by the trees, the bits of the others are projected to shards.
+TREE_WORDS, SHARD_WORDS = 4, 16
+WORDS = tuple(f"word{i}" for i in range(TREE_WORDS))
+_LANES = mix(np.arange(1, TREE_WORDS + SHARD_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Most often that a bit differs at similarity 0.8, by count over all ways to share shingles: for texts of up to SHORT shingles, and for longer ones.
+SHORT, DIFFERS_SHORT, DIFFERS = 5, 0.1875, 0.1612
+#: A pair at similarity 0.8 meets in no shard with at most this probability.
+UNMET = 1.5e-4
+#: Bits of the trees' words that may differ, and between short texts: at 0.8 more do in at most 1 pair of 10,000.
+RADIUS, RADIUS_SHORT = 65, 72
+#: Fingerprints in a shard, if evenly spread.
+SHARD_FILL = 32
+#: One node in so many is counted to find large shards.
+COUNTED = 16
+#: Most texts that meet in one part of a large group.
+GROUP_ROWS = 256
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -333,16 +368,99 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last)), np.uint64, n))
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """One key a band from the minima of a shingle set; none for the empty set."""
-    if not len(h):
-        return h
-    with np.errstate(over="ignore"):
-        low = np.minimum.reduce([(h[i : i + 512, None] * _FACTORS).min(axis=0) for i in range(0, len(h), 512)]).reshape(BANDS, BAND_ROWS)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for k in range(BAND_ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, k])
-    return key
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """Words of independent SimHash bits of a set of shingle hashes: a bit is 1 if it is set in over half the hashes of its word's lane."""
+    counts = np.zeros(64 * len(_LANES), np.int64)
+    for i in range(0, len(h), 2040):
+        part = mix(h[i : i + 2040, None] ^ _LANES)
+        bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            counts += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
+
+
+def shards_for(bits: int, differs: float, unmet: float = UNMET) -> int:
+    """How many projections to that many bits leave a pair whose bits differ with probability differs apart in all of them with probability unmet at most."""
+    total = 64 * SHARD_WORDS
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    d = range(total - bits + 1)
+    weight = np.exp([choose(total, i) + i * math.log(differs) + (total - i) * math.log(1 - differs) for i in d])
+    apart = 1 - np.exp([choose(total - i, bits) - choose(total, bits) for i in d])
+    low, high = 1, 1 << 20
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if weight @ apart**mid <= unmet else (mid + 1, high)
+    return low
+
+
+def _projected(nodes: DataFrame, bits: int) -> DataFrame:
+    """(key, node, known, short and WORDS): each node in its shards. A shard is a choice of bits of the fingerprint, the same for all, and their values."""
+    long, short = shards_for(bits, DIFFERS), shards_for(bits, DIFFERS_SHORT)
+    choice = np.argsort(np.random.default_rng(SEED).random((short, 64 * SHARD_WORDS)), axis=1)[:, :bits]
+    power = 1 << np.arange(bits)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                node, known, size = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                words = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64).reshape(part.num_rows, -1)
+                flags = np.unpackbits(words[:, TREE_WORDS:].copy().view(np.uint8), axis=1, bitorder="little")
+                for first, last, of in ((0, long, size > 0), (long, short, (size > 0) & (size <= SHORT))):
+                    if of.any():
+                        some = flags[of]
+                        key = np.stack([some[:, choice[k]] @ power | k << 40 for k in range(first, last)], axis=1)
+                        rest = [np.repeat(x[of], last - first) for x in (node, known, size <= SHORT, *words[:, :TREE_WORDS].T)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), *rest)], names=["key", "node", "known", "short", *WORDS])
+
+    return nodes.select("node", "known", "size", "fp").mapInArrow(step, ", ".join(("key bigint, node bigint, known bigint, short boolean", *(f"{w} bigint" for w in WORDS))))
+
+
+def _tree_groups(dealt: DataFrame) -> DataFrame:
+    """(group, node, known, head), distinct: in each shard, the nodes that its tree joins by pairs of different known groups within RADIUS of each other.
+
+    dealt: key, node, known, short, WORDS and side. A group is named by a hash of its members, so that one found in several shards is one; head is its smallest.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _shards(batches, ("key", "node", "known", "short", "side", *WORDS)):
+            node, known, short, side, *words = (np.concatenate([g[n] for g in held]) for n in ("node", "known", "short", "side", *WORDS))
+            word = np.stack(words, axis=1)
+            owner = np.repeat(np.arange(len(held)), [len(g["node"]) for g in held])
+            points, queries = np.flatnonzero(side != 1), np.flatnonzero(side != 2)
+            # A pair of chunks may have rows of one side only.
+            sets, of = np.unique(owner[points], return_inverse=True)
+            queries = queries[np.isin(owner[queries], sets)]
+            links = VantageForest(of, word[points]).links(np.searchsorted(sets, owner[queries]), word[queries], RADIUS_SHORT)
+
+            def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                of = known[x] != known[y]
+                x, y = x[of], y[of]
+                of = (_distance(word[x], word[y]) <= RADIUS) | short[x] & short[y]
+                return x[of], y[of]
+
+            root, _, _ = _joined(np.arange(len(node)), (near(queries[q], points[p]) for q, p in links))
+            many = np.bincount(root, minlength=len(node))[root] > 1
+            if many.any():
+                name = np.zeros(len(node), np.uint64)
+                np.add.at(name, root[many], mix(node[many].view(np.uint64) + np.uint64(SEED)))
+                head = np.full(len(node), np.iinfo(np.int64).max)
+                np.minimum.at(head, root[many], node[many])
+                yield pa.RecordBatch.from_pydict({"group": name[root[many]].view(np.int64), "node": node[many], "known": known[many], "head": head[root[many]]})
+
+    return dealt.mapInArrow(step, "group bigint, node bigint, known bigint, head bigint").distinct()
+
+
+def _families(found: DataFrame) -> DataFrame:
+    """(group, node, known): groups of different shards that share members as one group, where that makes fewer rows in pairs of parts than the groups by themselves."""
+    family = components(found.select(F.col("node").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("m"), "root")
+    member = found.groupBy("node").agg(F.min("known").alias("known"), F.count(F.lit(1)).alias("times"))
+    member = stash(member.join(family.hint("merge"), F.col("node") == F.col("m"), "left").select("node", "known", "times", F.coalesce("root", "node").alias("family")), "member")
+    size = member.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("rows")).withColumnRenamed("family", "f")
+    told = stash(member.join(size.hint("merge"), F.col("family") == F.col("f")).withColumn("one", F.col("n") * F.ceil(F.col("n") / GROUP_ROWS) <= F.col("rows")), "told")
+    others = told.where("not one").select(F.col("node").alias("m"))
+    rest = found.join(others.hint("merge"), F.col("node") == F.col("m"), "left_semi").select("group", "node", "known")
+    return stash(told.where("one").select(F.xxhash64("family").alias("group"), "node", "known").union(rest), "families")
 
 
 def exact_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -381,8 +499,8 @@ def _verified(edges: DataFrame, texts: DataFrame, size: int, similarity: float)
     return edges.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(step, "a bigint, b bigint")
 
 
-def _bucket_links(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links (a, b) of a spanning forest of the verified pairs of each bucket. dealt: key, node, known, text, sorted by key."""
+def _group_links(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) of a spanning forest of the verified pairs of each group. dealt: key, node, known, text, sorted by key."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -407,12 +525,12 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_co
     """(row, root) for every row of docs, which a unique key row_col names: connected components of the pairs of texts whose
     word-shingle sets have Jaccard similarity of at least similarity.
 
-    Texts of equal sets are one node. Nodes are candidates when they share one of BANDS keys of minima (of pairs at 0.8, 2 in
-    10,000 share none), and no pair becomes a link, or spares another pair its test, before its exact similarity is known.
-    First each node is tried with the smallest node of the bucket that it shares most keys with, which joins large groups of
-    near copies by one link a node; then all pairs of different groups in a bucket are tried, by buckets, or by pairs of
-    parts of large ones. Of buckets with equal members one is searched. Joins whose sides grow with the documents are sorted merges at
-    any size, so that a plan seen on a small table is that of a large one.
+    Texts of equal sets are one node with one wide SimHash fingerprint. A shard is a projection of fingerprints with distance zero; each
+    fingerprint goes to several, so many that of pairs at 0.8 at most 2.5 in 10,000 meet in none or differ too much for the trees
+    (by count of bits, whatever the number of rows). Every shard is searched by its own vantage-point tree, and no pair becomes a link, or spares
+    another pair its test, before its exact similarity is known. In large shards each node is first tried with the smallest
+    node of one of them, which joins large groups of near copies by one link a node; then all pairs are tried within the groups that the trees find.
+    Joins whose sides grow with the documents are sorted merges at any size, so that a plan seen on a small table is that of a large one.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -423,37 +541,42 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_co
                 sets = [shingle_set(t, size) for t in pc.fill_null(part.column(1), "").cast(pa.binary()).to_pylist()]
                 with np.errstate(over="ignore"):
                     digests = [np.array([mix(h + np.uint64(k)).sum(dtype=np.uint64) for h in sets], np.uint64).view(np.int64) for k in (1, 2)]
-                keys = [band_keys(h) for h in sets]
-                at = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys).view(np.int64)))
-                yield {"row": part.column(0), "d0": pa.array(digests[0]), "d1": pa.array(digests[1]), "bands": bands}
+                yield {"row": part.column(0), "d0": pa.array(digests[0]), "d1": pa.array(digests[1]), "size": pa.array([len(h) for h in sets], pa.int32()), "fp": pa.array([wide_fingerprint(h).tobytes() for h in sets], pa.binary())}
 
-    sketches = stash(map_arrow(docs, step, "row bigint, d0 bigint, d1 bigint, bands array<bigint>", [row_col, text_col]), "sketches")
+    sketches = stash(map_arrow(docs, step, "row bigint, d0 bigint, d1 bigint, size int, fp binary", [row_col, text_col]), "sketches")
     heads = sketches.groupBy("d0", "d1").agg(F.min("row").alias("node")).withColumnsRenamed({"d0": "e0", "d1": "e1"})
     named = stash(sketches.select("row", "d0", "d1").join(heads, (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1"))).select("row", "node"), "nodes")
-    keyed = sketches.join(named.where("row = node").select("node"), F.col("row") == F.col("node")).select("node", F.explode("bands").alias("key"))
-    often = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "low")
-    met = stash(keyed.join(often, F.col("key") == F.col("k")).select("key", "node", "low"), "met")
-    texts = stash(
-        docs.select(F.col(row_col).alias("node"), F.coalesce(text_col, F.lit("")).alias("text")).join(met.select(F.col("node").alias("m")).distinct().hint("merge"), F.col("node") == F.col("m"), "left_semi"),
-        "texts",
-    )
-    star = met.where("node <> low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("n"))
-    star = star.groupBy("node").agg(F.max_by("low", "n").alias("b")).select(F.col("node").alias("a"), "b")
-    links = stash(_verified(star, texts, size, similarity), "links")
-    known = components(links).select(F.col("node").alias("m"), "root")
-    now = met.join(known, F.col("node") == F.col("m"), "left").select("key", "node", F.coalesce("root", "node").alias("known"))
-    members = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"s{k}") for k in (1, 2)]
-    mixed = now.groupBy("key").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.count(F.lit(1)).alias("n"), *members).where("lo < hi")
-    mixed = mixed.groupBy("s1", "s2", "n").agg(F.min("key").alias("k")).select("k", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("chunks"))
-    live = stash(now.join(mixed, F.col("key") == F.col("k")).select("key", "node", "known", "chunks"), "live")
+    nodes = stash(sketches.join(named.where("row = node").select("node").hint("merge"), F.col("row") == F.col("node")).select("node", "size", "fp"), "fingerprints")
+    rows = nodes.count()
+    bits = max(8, round(math.log2(max(rows, 1) / SHARD_FILL)))
+    parts = _parts(spark, rows * shards_for(bits, DIFFERS))
+    counted = _projected(nodes.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0).withColumn("known", F.col("node")), bits).groupBy("key").agg((F.count(F.lit(1)) * COUNTED).alias("n"))
+    chunk = F.greatest(F.lit(SHARD_FILL * COUNTED), F.least(F.lit(CHUNK_MOST), F.col("n") / 32))
+    large = stash(counted.where(F.col("n") > SHARD_FILL * COUNTED).select(F.col("key").alias("large"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "large")
+    texts = docs.select(F.col(row_col).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
+    links, grouped = None, nodes.withColumn("known", F.col("node"))
+    if not large.isEmpty():
+        dense = stash(_projected(grouped, bits).join(large, F.col("key") == F.col("large")).select("key", "node", *WORDS), "dense")
+        low = dense.groupBy("key").agg(F.min(F.struct("node", *WORDS)).alias("low")).withColumnRenamed("key", "k")
+        apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"low.{w}"))) for w in WORDS)
+        near = dense.join(low, F.col("key") == F.col("k")).where((F.col("node") > F.col("low.node")) & (apart <= RADIUS_SHORT))
+        star = near.groupBy("node", F.col("low.node").alias("b")).agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("b", "n").alias("b"))
+        star = stash(star.select(F.col("node").alias("a"), "b"), "star")
+        ends = star.select(F.col("a").alias("m")).union(star.select("b")).distinct()
+        ends = stash(texts.join(ends.hint("merge"), F.col("node") == F.col("m"), "left_semi"), "texts")
+        links = stash(_verified(star, ends, size, similarity), "links")
+        known = components(links).select(F.col("node").alias("m"), "root")
+        grouped = nodes.join(known.hint("merge"), F.col("node") == F.col("m"), "left").select("node", "size", "fp", F.coalesce("root", "node").alias("known"))
+    found = _families(stash(_tree_groups(_dealt(_projected(grouped, bits), large, parts)), "found"))
+    chunks = found.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("chunks")).withColumnRenamed("group", "g")
+    live = found.join(chunks.hint("merge"), F.col("group") == F.col("g"))
     live = live.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    # A part of a large bucket meets itself in its pairs with the others.
-    live = live.where("chunks = 1 or chunk <> other").select("node", "known", F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"))
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = live.join(texts.withColumnRenamed("node", "m").hint("merge"), F.col("node") == F.col("m")).select("key", "node", "known", "text")
-    more = _bucket_links(dealt.repartition(parts, "key").sortWithinPartitions("key"), size, similarity)
-    roots = components(links.union(more)).select(F.col("node").alias("m"), "root")
+    # A part of a large group meets itself in its pairs with the others.
+    live = live.where("chunks = 1 or chunk <> other").select("node", "known", F.xxhash64("group", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"))
+    near = texts.withColumnRenamed("node", "m").hint("merge")
+    dealt = live.join(near, F.col("node") == F.col("m")).select("key", "node", "known", "text")
+    more = _group_links(dealt.repartition(parts, "key").sortWithinPartitions("key"), size, similarity)
+    roots = components(links.union(more) if links else more).select(F.col("node").alias("m"), "root")
     return named.join(roots, F.col("node") == F.col("m"), "left").select("row", F.coalesce("root", "node").alias("root"))
 
 

@@ -106,3 +106,53 @@ def test_frequent_lines_are_joined_where_they_are(spark):
     docs = spark.createDataFrame([(i, f"own {i} first\nthe common line that many documents of all sources carry around\nown {i} last") for i in range(1500)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
     assert sum("common" in t for t in got.values()) == 1 and "common" in got[0] and all(f"own {i} first" in t and f"own {i} last" in t for i, t in got.items())
+
+
+def _flipped(rng, words: np.ndarray, bits: int) -> np.ndarray:
+    out = np.unpackbits(words.view(np.uint8))
+    out[rng.choice(len(out), bits, replace=False)] ^= 1
+    return np.packbits(out).view(np.uint64)
+
+
+def test_near_dedup_trees_find_what_meets_in_a_shard(spark):
+    rng = np.random.default_rng(7)
+    lanes = simhash.TREE_WORDS + simhash.SHARD_WORDS
+    first = [rng.integers(0, 1 << 63, lanes).astype(np.uint64) for _ in range(40)]
+    fps = first + [_flipped(rng, w, 120) for w in first] + [_flipped(rng, w, 500) for w in first]
+    nodes = spark.createDataFrame([(i, i, 100, w.tobytes()) for i, w in enumerate(fps)], "node long, known long, size int, fp binary")
+    large = spark.createDataFrame([], "large long, chunks int")
+    keyed = simhash._projected(nodes, 8)
+    found = {}
+    for r in simhash._tree_groups(simhash._dealt(keyed, large, 4)).collect():
+        found.setdefault(r["group"], set()).add(r["node"])
+    shards = {}
+    for r in keyed.collect():
+        shards.setdefault(r["key"], []).append(r["node"])
+    close = {(a, b) for m in shards.values() for a in m for b in m if a < b and np.bitwise_count(fps[a][: simhash.TREE_WORDS] ^ fps[b][: simhash.TREE_WORDS]).sum() <= simhash.RADIUS}
+    assert close >= {(i, i + 40) for i in range(40)}
+    assert all(any({a, b} <= g for g in found.values()) for a, b in close)
+    assert all(any((min(a, b), max(a, b)) in close for b in g if b != a) for g in found.values() for a in g)
+
+
+def test_near_dedup_has_its_links_from_the_trees(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = _family(rng, 2, 0.9) + _family(rng, 2, 0.3)
+    assert _groups(spark, texts) == {0: 0, 1: 0, 2: 2, 3: 3}
+    trees = simhash._tree_groups
+    monkeypatch.setattr(simhash, "_tree_groups", lambda dealt: trees(dealt).where("false"))
+    assert _groups(spark, texts) == {i: i for i in range(4)}
+
+
+def test_near_dedup_shards_leave_few_pairs_apart():
+    rng = np.random.default_rng(9)
+    for n, own, bits in ((5, 1, 8), (15, 3, 8), (270, 30, 11)):
+        apart = simhash.shards_for(bits, simhash.DIFFERS_SHORT if n <= simhash.SHORT else simhash.DIFFERS, 0.01)
+        choice = [rng.choice(64 * simhash.SHARD_WORDS, bits, replace=False) for _ in range(apart)]
+        missed = 0
+        for _ in range(300):
+            h = rng.integers(0, 1 << 63, n + own).astype(np.uint64)
+            x, y = (simhash.wide_fingerprint(s) for s in ((h[:n], h[own:]) if n > 15 else (h[:n], h[: n - own])))
+            assert np.bitwise_count(x[: simhash.TREE_WORDS] ^ y[: simhash.TREE_WORDS]).sum() <= (simhash.RADIUS_SHORT if n <= simhash.SHORT else simhash.RADIUS)
+            differ = np.unpackbits((x ^ y)[simhash.TREE_WORDS :].view(np.uint8))
+            missed += all(differ[c].any() for c in choice)
+        assert missed <= 9
