@@ -132,6 +132,22 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n_col: str)
     return left.join(often, same).drop(*drop).unionByName(few.drop(*drop))
 
 
+def ranked(df: DataFrame, order: list) -> DataFrame:
+    """df with rank (1, 2, ... in that order) and rows (how many there are), written: sorted by ranges, each of which begins after the rows of those before."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = stash(placed.withColumn("__range", F.shiftright("__at", 33)), "ranked")
+    sizes = {r[0]: r[1] for r in placed.groupBy("__range").count().collect()}  # one row for each range
+    ahead, before = [(-1, 0)], 0
+    for k in sorted(sizes):
+        ahead.append((k, before))
+        before += sizes[k]
+    starts = F.broadcast(spark.createDataFrame(ahead, "__key bigint, __ahead bigint"))
+    out = placed.join(starts, F.col("__range") == F.col("__key")).withColumn("rank", F.col("__at") - F.shiftleft("__range", 33) + F.col("__ahead") + 1)
+    return out.withColumn("rows", F.lit(before)).drop("__at", "__range", "__key", "__ahead")
+
+
 def map_arrow(df: DataFrame, step: Callable, schema: str, columns: list[str]) -> DataFrame:
     """mapInArrow of step(iterator of batches of the given columns) -> iterator of dicts of columns, cast to schema."""
     ship(df.sparkSession)
