@@ -17,7 +17,7 @@ import math
 import random
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +45,16 @@ class _Slow(Exception):
     pass
 
 
+def read_ranks(ranks_path: str, pattern: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
+    """The encoder of ordinary text of a file of ranks, and the bytes of each id."""
+    import tiktoken
+
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    given = {i: token for token, i in ranks.items()}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, [given.get(i, b"") for i in range(max(given) + 1)]
+
+
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes; ids of single words are remembered.
 
@@ -54,15 +64,11 @@ class Encoder:
     """
 
     def __init__(self, ranks_path: str, pattern: str, whole_path: str):
-        import tiktoken
-
         with open(whole_path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f).get("added_tokens") or ()]
         self.whole_path, self.whole = whole_path, None
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = read_ranks(ranks_path, pattern)[0]
         self.first, self.later = _Words(self.encode, ""), _Words(self.encode, " ")
         self.newline = self._bytes("\n")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, imatch, importance, langid, linededup, packing, pii, secret_scan, simhash, url_filter
+from . import alignment, decontam, html_text, imatch, importance, langid, linededup, packing, pii, secret_scan, simhash, url_filter
 from ._common import table
 
 
@@ -58,10 +58,14 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_imatch, op2_langid, op3_secret_scan, op4_html_text, op5_simhash_groups, op6_line_dedup, op7_packing, op8_url_filter,
-        op9_decontamination, op10_pii, op12_importance_resampling,
+        op9_decontamination, op10_pii, op12_importance_resampling, op13_token_alignment,
     )
     return {f.__name__: f for f in ops}
 
