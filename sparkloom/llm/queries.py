@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, html_text, imatch, importance, langid, linededup, packing, pii, secret_scan, simhash, url_filter
+from . import alignment, decontam, html_text, imatch, importance, langid, linededup, overlap_join, packing, pii, secret_scan, simhash, url_filter
 from ._common import table
 
 
@@ -54,6 +54,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_join.join_similar(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,10 +69,10 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_imatch, op2_langid, op3_secret_scan, op4_html_text, op5_simhash_groups, op6_line_dedup, op7_packing, op8_url_filter,
-        op9_decontamination, op10_pii, op12_importance_resampling, op13_token_alignment,
+        op9_decontamination, op10_pii, op11_jaccard_join, op12_importance_resampling, op13_token_alignment,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.oracle_sql(), "op12_importance_resampling": importance.oracle_sql()}
+    return {"op8_url_filter": url_filter.oracle_sql(), "op11_jaccard_join": overlap_join.oracle_sql(), "op12_importance_resampling": importance.oracle_sql()}

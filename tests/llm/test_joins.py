@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkloom.llm import alignment, importance, queries
+from sparkloom.llm import alignment, importance, overlap_join, queries
 
 SCHEMA = "doc_id long, text string, row long, bucket int, rank string, pair int, n int, id string, score string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -205,3 +205,117 @@ def test_op13_intervals(sizes, rng):
     want = {(i, j) for i in range(len(ends)) for j in range(len(other)) if starts(ends)[i] < other[j] and starts(other)[j] < ends[i]}
     assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
     assert end[closed].tolist() == sorted(set(ends.tolist()) & set(other.tolist()))
+
+
+# ---- op11
+
+
+def _set(text, size=5):
+    w = re.findall("[^\\x20\\x09-\\x0D]+", (text or "").translate(LOWER))
+    return {" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def _components(rows, size=5, percent=80):
+    sets = [_set(t, size) for _, t in rows]
+    at = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            at.setdefault(x, []).append(k)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, s in enumerate(sets):
+        shared = Counter(y for x in s for y in at[x] if y < k)
+        for y, n in shared.items():
+            if 100 * n >= percent * (len(s) + len(sets[y]) - n):
+                root[max(find(k), find(y))] = min(find(k), find(y))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least.setdefault(find(k), []).append(-1 if i is None else i)
+    low = {k: min(v) for k, v in least.items()}
+    return [(i, len(sets[k]), None if low[find(k)] == -1 else low[find(k)]) for k, (i, _) in enumerate(rows)]
+
+
+def _joined(spark, rows, **more):
+    return sorted((tuple(r) for r in overlap_join.join_similar(frame(spark, rows), **more).collect()), key=_key)
+
+
+def test_op11_cases(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(9, text), (4, text), (4, text.upper() + " more"), (None, None), (3, None), (2, ""), (1, " \n\t "), (7, "a b c d"), (8, "A  B\tc\nd"), (6, "a b c d e"), (5, "a b c"), (11, "ÀB c d e f"), (12, "àB c d e f"),
+            (20, "z"), (None, "z"), (21, "x" * 300_000), (22, "x" * 300_000), (23, "la " * 100_000), (24, "la la la la la"), (25, "a b\u0085c d e f\u0000"), (26, "\x1c \x1f")]
+    want = sorted(_components(rows), key=_key)
+    assert _joined(spark, rows) == want
+    assert (None, 1, None) in want and (20, 1, None) in want and (24, 1, 23) in want
+    assert overlap_join.join_similar(frame(spark, [])).collect() == []
+    assert _joined(spark, [(1, None), (2, "")]) == [(1, 0, 1), (2, 0, 2)]
+
+
+def _family(rng, n, words, edits, copies=0):
+    base = [f"b{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out + out[:1] * copies
+
+
+@pytest.mark.parametrize("chunk", [512, 7])
+def test_op11_families_in_parts(spark, monkeypatch, chunk):
+    """Groups of near copies on both sides of the bar, of many exact copies, and a passage that many texts share."""
+    monkeypatch.setattr(overlap_join, "GROUP_ROWS", chunk)
+    monkeypatch.setattr(overlap_join, "LIST_ROWS", 5 if chunk == 7 else 2048)
+    rng = random.Random(chunk)
+    texts = _family(rng, 60, 100, 3, 30) + _family(rng, 40, 60, 5) + _family(rng, 50, 30, 2) + _family(rng, 30, 12, 1)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [f"{passage} " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.choice([5, 12, 15, 30]))) for _ in range(80)]
+    chain = [f"c{i}" for i in range(50)]
+    for _ in range(40):
+        texts.append(" ".join(chain))
+        chain = chain[2:] + [f"c{rng.randrange(10**6)}", f"c{rng.randrange(10**6)}"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert _joined(spark, rows) == sorted(_components(rows), key=_key)
+
+
+@pytest.mark.parametrize(("size", "percent"), [(1, 50), (3, 60), (2, 95), (1, 100)])
+def test_op11_other_bars(spark, size, percent):
+    rng = random.Random(size * percent)
+    rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(0, 9)))) for i in range(150)]
+    assert _joined(spark, rows, size=size, percent=percent) == sorted(_components(rows, size, percent), key=_key)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1), min_size=1, max_size=14), st.sampled_from([50, 80, 100]), st.integers(0, 14))
+def test_op11_searches(sets, percent, cut):
+    """All links, of one shard and of two sides that meet; cut is where the second side begins."""
+    cut = min(cut, len(sets))
+    for side in ([0] * len(sets), [2] * cut + [1] * (len(sets) - cut)):
+        owner = np.concatenate([np.full(len(s), k) for k, s in enumerate(sets)])
+        value = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
+        n = np.array([len(s) for s in sets])
+        x, y = overlap_join.occurrences(owner, value, n, np.array(side), np.arange(len(sets)), percent)
+        want = [(i, j) for i in range(len(sets)) for j in range(i) if side[i] + side[j] in (0, 3) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+        groups = lambda pairs: _roots(len(sets), pairs)
+        assert groups(zip(x.tolist(), y.tolist())) == groups(want)
+        assert {(max(p), min(p)) for p in zip(x.tolist(), y.tolist())} <= set(want)
+
+
+def _roots(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        ra, rb = root[a], root[b]
+        root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+    return root
+
+
+def test_op11_against_brute_force(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = sorted((tuple(r) for r in queries.op11_jaccard_join(spark, sf).collect()), key=_key)
+    assert got == sorted(_components(rows), key=_key) and len({r[2] for r in got}) < len(rows)
