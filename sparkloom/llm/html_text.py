@@ -94,8 +94,14 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple, int]] = [("", (False, False, False, False), 0)]
     pieces: list[str] = []
     link = links = 0  # characters in links of this block; open links
+    opened: Counter = Counter()  # open elements by tag
     count = at = 0
 
+    def close(k: int) -> None:
+        """End the elements from k on."""
+        opened.subtract(tag for tag, _, _ in stack[k:])
+        del stack[k:]
+
     def flush() -> None:
         nonlocal link
         if pieces:
@@ -133,11 +139,11 @@ def blocks(page: str) -> list[Block]:
             if not ends and not (m[3] or m[6] or "").endswith("/"):
                 low = page.lower() if low is None else low
                 if len(low) != n:  # lower() of a few characters is longer
-                    close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                    at = close.end() if close else n
+                    end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+                    at = end.end() if end else n
                 else:
-                    close = low.find(f"</{tag}", at)
-                    stop = page.find(">", close) if close >= 0 else -1
+                    end = low.find(f"</{tag}", at)
+                    stop = page.find(">", end) if end >= 0 else -1
                     at = stop + 1 if stop >= 0 else n
         elif tag == "a":
             links = 0 if ends else 1
@@ -147,20 +153,19 @@ def blocks(page: str) -> list[Block]:
             flush()
             links = 0
             if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if opened[tag]:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             else:
                 ended = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1 if any(opened[t] for t in ended) else 0, 0, -1):
                     if stack[k][0] in ended:
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] in SCOPE:
                         break
                 if tag not in VOID:
                     count += 1
+                    opened[tag] += 1
                     stack.append((tag, _state(stack[-1][1], tag, m[3] or m[6] or ""), count))
     flush()
     # DOM proximity is between blocks that are children of one element.

@@ -13,7 +13,6 @@ every whole text.
 from __future__ import annotations
 
 import dataclasses
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,6 @@ HASHES = 3
 SAMPLE_ROWS = 8000
 MIN_SHARE = 0.02
 _LETTER = np.array([chr(i).isalpha() if i < 128 else True for i in range(256)])
-_HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +81,7 @@ class Filters:
                 own = np.bincount(text[(masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=len(texts))
                 f = self.false_rate[order][i]
                 hits[i] += np.maximum(0, (own - n * f) / (1 - f)) if f < 1 else 0
-        has = [bool(_HAS_LETTER.search(t)) for t in texts.to_pylist()]
+        has = [any(map(str.isalpha, t)) for t in texts.to_pylist()]
         share = hits / np.maximum(seen, 1)
         total = share.sum(axis=0)
         best = share.argmax(axis=0) if self.languages else np.zeros(len(texts), int)

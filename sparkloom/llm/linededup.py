@@ -204,7 +204,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
     def cut(text: str, blocks: list[dict]) -> tuple[str, int]:
         at = _worded(text)
-        gone = {at[i] for b in blocks for i in range(b["at"], min(len(at), b["at"] + b["size"]))}
+        depth = np.zeros(len(at) + 1, np.int64)
+        start = np.array([b["at"] for b in blocks], np.int64)
+        np.add.at(depth, start, 1)
+        np.add.at(depth, np.minimum(len(at), start + np.array([b["size"] for b in blocks], np.int64)), -1)
+        gone = {at[i] for i in np.flatnonzero(np.cumsum(depth)[:-1])}
         return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone), len(gone)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,12 +39,12 @@ MORE = {
 KINDS = [*BASE, *MORE]
 #: Shapes that the strict labeler wants.
 SHAPE = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,10}$",
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?![^@]*\.\.)[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,10}$",
     "ip": r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.|$)){4}$",
     "card": r"^([0-9]{4}[ -]?){3}[0-9]{1,4}([ -]?[0-9]{1,3})?$|^3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}$",
     "phone": r"^\+[1-9][0-9]{0,2}[ .(-]*[0-9][0-9 ().-]*$",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
-    "iban": r"^[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{1,4})+$",
+    "iban": r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4})++$",
     "tel": r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}$",
     "mail_words": r"^[A-Za-z].*$",
 }

@@ -84,3 +84,19 @@ def test_stages(spark, docs, none, tmp_path):
 def test_near_stage_keeps_one_of_a_group(spark, docs):
     got = corpus_pipeline.near_dedup(spark, docs.where("text is not null"), "").select("doc_id", F.substring("text", 1, 5).alias("t")).collect()
     assert sorted(r["doc_id"] for r in got if r["t"] == "alpha" and r["doc_id"] != 6) == [4]
+
+
+def test_hostile_texts(spark):
+    """One row each that is deep, long or repetitive: linear work, no deep recursion."""
+    mail, spelled, digits = "mail a@b" + ".c" * 500_000, "x@y." + "a." * 300_000 + "com", "4 " * 300_000
+    rows = [(1, mail), (2, spelled), (3, digits), (4, "+1 " + "(2)" * 300_000), (5, "DE00" + " AB12" * 200_000), (6, "½ ² 3"), (7, "a@b..c.com d@e.f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    assert found[1]["n_email"] == 1 and found[2]["n_email"] == 1 and found[7]["n_email"] == 1
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.fit(docs.withColumn("lang", F.lit("en")))).collect()}[6] == "und"
+    lines = "\n".join(f"line number {i} of a long repeated run" for i in range(30_000))
+    cut = linededup.dedup_lines(spark.createDataFrame([(1, lines), (2, "start\n" + lines)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["lines_removed"] for r in cut} == {1: 0, 2: 30_000}
+    pages = ["<div>" * 100_000 + "</p>" * 100_000 + "text", "<h1>" * 100_000 + "<p>x</p>" * 1000, "<section>" + "<div>" * 50_000 + "</section>" * 50_000 + "<article><p>The end."]
+    got = html_text.extract_pages(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit(""))).collect()
+    assert {r["page_id"]: r["text"] for r in got}[2] == "The end."
