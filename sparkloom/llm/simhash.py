@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ROW, map_arrow, numbered, ship, stash, text_slices, unstash
+from ._common import ROW, map_arrow, numbered, ship, spread_join, stash, text_slices, unstash
 from .words import mix
 
 SEED = 42
@@ -456,8 +456,9 @@ def _families(found: DataFrame) -> DataFrame:
     family = components(found.select(F.col("node").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("m"), "root")
     member = found.groupBy("node").agg(F.min("known").alias("known"), F.count(F.lit(1)).alias("times"))
     member = stash(member.join(family.hint("merge"), F.col("node") == F.col("m"), "left").select("node", "known", "times", F.coalesce("root", "node").alias("family")), "member")
-    size = member.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("rows")).withColumnRenamed("family", "f")
-    told = stash(member.join(size.hint("merge"), F.col("family") == F.col("f")).withColumn("one", F.col("n") * F.ceil(F.col("n") / GROUP_ROWS) <= F.col("rows")), "told")
+    size = stash(member.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("rows")), "sizes")
+    n = F.col("__right_n")
+    told = stash(spread_join(member, size, ["family"], "n").withColumn("one", n * F.ceil(n / GROUP_ROWS) <= F.col("__right_rows")), "told")
     others = told.where("not one").select(F.col("node").alias("m"))
     rest = found.join(others.hint("merge"), F.col("node") == F.col("m"), "left_semi").select("group", "node", "known")
     return stash(told.where("one").select(F.xxhash64("family").alias("group"), "node", "known").union(rest), "families")
@@ -557,10 +558,10 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_co
     links, grouped = None, nodes.withColumn("known", F.col("node"))
     if not large.isEmpty():
         dense = stash(_projected(grouped, bits).join(large, F.col("key") == F.col("large")).select("key", "node", *WORDS), "dense")
-        low = dense.groupBy("key").agg(F.min(F.struct("node", *WORDS)).alias("low")).withColumnRenamed("key", "k")
-        apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"low.{w}"))) for w in WORDS)
-        near = dense.join(low, F.col("key") == F.col("k")).where((F.col("node") > F.col("low.node")) & (apart <= RADIUS_SHORT))
-        star = near.groupBy("node", F.col("low.node").alias("b")).agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("b", "n").alias("b"))
+        low = stash(dense.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", *WORDS)).alias("low")), "low")
+        apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"__right_low.{w}"))) for w in WORDS)
+        near = spread_join(dense, low, ["key"], "n").where((F.col("node") > F.col("__right_low.node")) & (apart <= RADIUS_SHORT))
+        star = near.groupBy("node", F.col("__right_low.node").alias("b")).agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("b", "n").alias("b"))
         star = stash(star.select(F.col("node").alias("a"), "b"), "star")
         ends = star.select(F.col("a").alias("m")).union(star.select("b")).distinct()
         ends = stash(texts.join(ends.hint("merge"), F.col("node") == F.col("m"), "left_semi"), "texts")
@@ -568,8 +569,8 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_co
         known = components(links).select(F.col("node").alias("m"), "root")
         grouped = nodes.join(known.hint("merge"), F.col("node") == F.col("m"), "left").select("node", "size", "fp", F.coalesce("root", "node").alias("known"))
     found = _families(stash(_tree_groups(_dealt(_projected(grouped, bits), large, parts)), "found"))
-    chunks = found.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("chunks")).withColumnRenamed("group", "g")
-    live = found.join(chunks.hint("merge"), F.col("group") == F.col("g"))
+    chunks = stash(found.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("chunks")), "chunks")
+    live = spread_join(found, chunks, ["group"], "n").withColumnRenamed("__right_chunks", "chunks")
     live = live.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     # A part of a large group meets itself in its pairs with the others.
     live = live.where("chunks = 1 or chunk <> other").select("node", "known", F.xxhash64("group", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"))
