@@ -12,6 +12,7 @@ rows of pairs, are broadcast and looked up where the texts' rows are; only the o
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,6 @@ A_FILE, A_RANKS, B_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_b
 COMMON = 100_000
 #: Pairs that a task holds before it hands on their counts.
 _HELD = 4_000_000
-#: Words whose tokens a worker remembers at most; then it starts anew.
-REMEMBERED = 300_000
 
 
 def elementary(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,11 +60,7 @@ def links(kind: str, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray
 
 
 class Pair:
-    """Both tokenizers: their ids of a text, and the bytes of their ids.
-
-    Neither joins bytes across a single space or newline between two other characters but for the space that leads a word, so most texts are
-    put together from the remembered tokens of their words; others are encoded whole.
-    """
+    """Both tokenizers: their ids of a text, and the bytes of their ids."""
 
     def __init__(self, a_ranks: str, pattern: str, b_file: str):
         import sentencepiece
@@ -73,80 +68,19 @@ class Pair:
         from .packing import read_ranks
 
         self.a, self.a_bytes = read_ranks(a_ranks, pattern)
-        model = sentencepiece.SentencePieceProcessor(model_file=b_file)
-        self.b = lambda text: model.encode(text, num_threads=1)
-        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        line = self.b("\n")
-        apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
-        self.simple = apart and pieces[line[0]] == "▁"
-        self.a_line, self.b_line = self._packed(self.a("\n")), self._packed(line[1:])
-        self.lead = len(line)
-        self.later, self.first = _Words(self._later), _Words(self._first)
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _checked(self, a: list[int], b: list[int], raw: bytes) -> tuple[bytes, bytes] | None:
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-            return None
-        return self._packed(a), self._packed(b)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=b_file)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
 
-    def _later(self, word: str) -> tuple[bytes, bytes] | None:
-        spaced = " " + word
-        return self._checked(self.a(spaced), self.b(word), spaced.encode())
-
-    def _first(self, word: str) -> tuple[bytes, bytes] | None:
-        return self._checked(self.a(word), self.b("\n" + word)[self.lead :], word.encode())
-
-    def __call__(self, text: str | None) -> tuple[bytes, bytes] | None:
-        """Packed ids of A and of B, or None for no tokens: null, empty, or not given back byte by byte."""
+    def __call__(self, text: str | None) -> tuple[list[int], list[int]] | None:
+        """Ids of A and of B, or None for no tokens: null, empty, or not given back byte by byte."""
         if not text:
             return None
-        if self.simple and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
-            if len(self.later) + len(self.first) > REMEMBERED:
-                self.later.clear()
-                self.first.clear()
-            try:
-                return self._by_words(text)
-            except _Slow:
-                pass
-        return self._later(text)
-
-    def _by_words(self, text: str) -> tuple[bytes, bytes] | None:
-        a, b = [], []
-        for i, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if i:
-                a.append(self.a_line)
-                b.append(self.b_line)
-                units = [self.first[words[0]], *map(self.later.__getitem__, words[1:])]
-            else:
-                units = list(map(self.later.__getitem__, words))
-            if None in units:
-                return None
-            a.extend(x[0] for x in units)
-            b.extend(x[1] for x in units)
-        return b"".join(a), b"".join(b)
-
-
-class _Slow(Exception):
-    pass
-
-
-class _Words(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> tuple[bytes, bytes] | None:
-        if word.split() != [word]:  # other white space inside
-            raise _Slow
-        out = self.encode(word)
-        if len(word) <= 40:
-            self[word] = out
-        return out
+        spaced = " " + text
+        a, b, raw = self.a(spaced), self.model.encode(text, num_threads=1), spaced.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        return a, b
 
 
 class Aligner:
@@ -164,9 +98,8 @@ class Aligner:
         found = [self.pair(t) for t in texts]
         ids, ends, count = [], [], []
         for side in (0, 1):
-            raw = [f[side] if f else b"" for f in found]
-            n = np.array([len(x) // 4 for x in raw], np.int64)
-            x = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+            n = np.array([len(f[side]) if f else 0 for f in found], np.int64)
+            x = np.fromiter(itertools.chain.from_iterable(f[side] for f in found if f), np.int64, int(n.sum()))
             ids.append(x)
             count.append(n)
             # A gap of one before each text, so that none ends where another begins.
@@ -182,7 +115,7 @@ class Aligner:
         }
 
     def _groups(self, ids: list[np.ndarray], count: list[np.ndarray], high_a: np.ndarray, high_b: np.ndarray) -> list[str]:
-        at, others, base = [], (np.concatenate(([0], high_b[:-1])), high_a), 0
+        others, base = (np.concatenate(([0], high_b[:-1])), high_a), 0
         marked = np.zeros(len(ids[0]) + len(ids[1]), np.int64)
         for side, high in enumerate((high_a, high_b)):
             i = np.arange(len(ids[side]))
