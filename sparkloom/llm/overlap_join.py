@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ROW, map_arrow, numbered, ship, spread_join, stash, text_slices, utf8_buffers
+from ._common import ROW, map_arrow, numbered, ship, spread_join, stash, text_slices, unstash, utf8_buffers
 from .simhash import _dealt, _distance, _forest, _joined, _often, _parts, _shards, components
 from .words import NON_SPACE_BYTES, hashes, mix, shingle_hashes, spans
 
@@ -34,11 +34,15 @@ SIZE, PERCENT = 5, 80
 SLOT_BITS = 20
 BITMAP = 2048
 #: Nodes of one posting list that meet in a task, and members and shingles of a part of a family.
-LIST_ROWS, GROUP_ROWS, GROUP_SHINGLES = 2048, 512, 1_000_000
+LIST_ROWS, GROUP_ROWS, GROUP_SHINGLES = 2048, 512, 200_000
 #: Weight of a probe against a merge step, as DivideSkip's authors fit it.
 MU = 0.0085
 #: Rows of lists that are merged at once, and pairs that are compared at once.
-_MERGED, _PAIRS = 2_000_000, 65_536
+_MERGED, _PAIRS = 1_000_000, 65_536
+#: Bytes of text of several shards that are searched at once.
+_HELD_TEXT = 1_000_000
+#: Members of families whose row keys are broadcast (16 MB), so that only their texts are shuffled; where there are more, all texts are.
+BROADCAST_MEMBERS = 2_000_000
 _UPPER = np.array([0x41 <= i <= 0x5A for i in range(256)])
 
 
@@ -291,6 +295,43 @@ def occurrences(owner: np.ndarray, value: np.ndarray, size: np.ndarray, side: np
     return np.concatenate([none, *(a for a, _ in kept)]), np.concatenate([none, *(b for _, b in kept)])
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Shards of two rows or more, one after the other; rows come sorted by key."""
+    names = ("key", "side", "node", "known", "text")
+    rest: list[dict] = []
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            cols = {n: part.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
+            cuts = [0, *(np.flatnonzero(cols["key"][1:] != cols["key"][:-1]) + 1).tolist(), part.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if rest and rest[0]["key"][0] != cols["key"][a]:
+                    if sum(len(r["key"]) for r in rest) > 1:
+                        yield {n: np.concatenate([r[n] for r in rest]) for n in names}
+                    rest = []
+                if b > a:
+                    rest.append({n: v[a:b] for n, v in cols.items()})
+    if sum(len(r["key"]) for r in rest) > 1:
+        yield {n: np.concatenate([r[n] for r in rest]) for n in names}
+
+
+def _texts_of(members: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """(m, text) of the rows that members (node) name; others may follow where they are too many to broadcast."""
+    texts = rows.select(F.col(ROW).alias("m"), F.coalesce(text_col, F.lit("")).alias("text"))
+    if members.count() > BROADCAST_MEMBERS:
+        return texts
+    wanted = rows.sparkSession.sparkContext.broadcast(np.sort(members.select("node").toArrow().column(0).to_numpy()))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        nodes = wanted.value
+        for batch in batches:
+            m = batch.column(0).to_numpy()
+            place = np.minimum(np.searchsorted(nodes, m), max(len(nodes) - 1, 0))
+            kept = batch.filter(pa.array(nodes[place] == m if len(nodes) else np.zeros(len(m), bool)))
+            yield {"m": kept.column(0), "text": kept.column(1)}
+
+    return map_arrow(texts, step, "m bigint, text string", ["m", "text"])
+
+
 def _linked(dealt: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of a spanning forest of what is alike enough in each shard. dealt: key, side, node, known, text, sorted by key, then side falling."""
 
@@ -311,19 +352,14 @@ def _linked(dealt: DataFrame, size: int, percent: int) -> DataFrame:
         return {"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])} if len(x) else None
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        def small() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield from text_slices(batch, "text")
-
         waiting, size_now = [], 0
-        for held in _shards(small(), ("key", "side", "node", "known", "text")):
-            for shard in held:
-                waiting.append(shard)
-                size_now += sum(map(len, shard["text"]))
-                if size_now > 2_000_000:
-                    if (out := search(waiting)) is not None:
-                        yield out
-                    waiting, size_now = [], 0
+        for shard in _whole(batches):
+            waiting.append(shard)
+            size_now += sum(map(len, shard["text"]))
+            if size_now > _HELD_TEXT:
+                if (out := search(waiting)) is not None:
+                    yield out
+                waiting, size_now = [], 0
         if waiting and (out := search(waiting)) is not None:
             yield out
 
@@ -346,7 +382,7 @@ def similar_nodes(nodes: DataFrame, rows: DataFrame, size: int, percent: int, te
     extent = stash(members.groupBy(F.col("family").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")), "families")
     chunks = F.ceil(F.greatest(F.col("n") / GROUP_ROWS, F.col("all") / GROUP_SHINGLES)).cast("int")
     extent = extent.select(F.col("f").alias("family"), "n", chunks.alias("chunks"))
-    texts = rows.select(F.col(ROW).alias("m"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = _texts_of(members, rows, text_col)
     placed = spread_join(members, extent, ["family"], "n").select("node", "family", F.col("__right_chunks").alias("chunks"))
     placed = stash(placed.join(texts.hint("merge"), own).drop("m"), "texts")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -400,12 +436,13 @@ def join_similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_c
     found = sketches(rows, size, percent, text_col)
     heads = stash(found.where("size > 0").groupBy("d0", "d1").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "heads")
     named = stash(spread_join(found, heads, ["d0", "d1"], "n").withColumnRenamed("__right_node", "node").select("row", "node", "size", *[F.when(F.col("row") == F.col("node"), F.col(c)).alias(c) for c in ("first", "bitmap")]), "nodes")
+    unstash(found)
     roots = similar_nodes(named.where("row = node").select("node", "size", "first", "bitmap"), rows, size, percent, text_col)
     roots = roots.select(F.col("node").alias("m"), "root")
-    of = named.select("row", "node").join(roots.hint("merge"), F.col("node") == F.col("m"), "left").select(F.col("row").alias("r"), F.coalesce("root", "node").alias("root"))
+    of = named.select("row", "node", "size").join(roots.hint("merge"), F.col("node") == F.col("m"), "left").select(F.col("row").alias("r"), "size", F.coalesce("root", "node").alias("root"))
     lowest = F.lit(-(2**63))
-    ids = rows.select(F.col(ROW).alias("row"), "id").join(found.select(F.col("row").alias("s"), "size").hint("merge"), F.col("row") == F.col("s")).drop("s")
-    ids = stash(ids.join(of.hint("merge"), F.col("row") == F.col("r"), "left").select("row", "id", "size", F.coalesce("root", "row").alias("root")), "roots")
+    ids = rows.select(F.col(ROW).alias("row"), "id").join(of.hint("merge"), F.col("row") == F.col("r"), "left")  # those without words are in no node
+    ids = stash(ids.select("row", "id", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"), F.coalesce("root", "row").alias("root")), "roots")
     least = stash(ids.groupBy("root").agg(F.min(F.coalesce("id", lowest)).alias("least"), F.count(F.lit(1)).alias("n")), "least")
     out = spread_join(ids, least, ["root"], "n")
     return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("__right_least") != lowest, F.col("__right_least")).alias("component_id"))
