@@ -61,6 +61,7 @@ def rule_key(sentence: Column) -> Column:
 
 # Lines that tell of a bad extraction, and the table rule that doesn't.
 TABLE_RULE = r"^\|(?:\s*:?-{3,}:?\s*\|)+$"
+JAVA_TABLE_RULE = TABLE_RULE.replace(")+", ")++")
 SUSPICIOUS = r"(?i)--\s*[0-9]+\s+of\s+[0-9]+\s*--|^Docusign Envelope ID:"
 SUSPICIOUS_SHAPE = r"^[\s~{}_|=\-]{8,}$|[{}]{6,}|^[0-9]{1,3}$"
 CAPS = r"^[A-Z0-9][A-Z0-9 /&().,'-]{2,}$"
@@ -74,7 +75,7 @@ def symbol_ratio(line: Column) -> Column:
 def layout_risk(text: Column) -> Column:
     """Sum of the shares of short, symbol-heavy, upper-case, number and suspicious lines; 0 without lines."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    odd = lambda x: ~x.rlike(TABLE_RULE) | x.rlike(SUSPICIOUS)
+    odd = lambda x: ~x.rlike(JAVA_TABLE_RULE) | x.rlike(SUSPICIOUS)
     bad = lambda x: odd(x) & (x.rlike(SUSPICIOUS) | x.rlike(SUSPICIOUS_SHAPE) | ((F.length(x) > 30) & (symbol_ratio(x) > 0.45)))
     marks = lambda x: (
         (F.length(x) <= 18).cast("int") + (symbol_ratio(x) > 0.35).cast("int") + (x.rlike(CAPS) & (F.length(x) <= 80)).cast("int")
@@ -96,11 +97,14 @@ def normalized_file(path: Column) -> Column:
 DECISION = r"(?i)\b(why|tradeoff|trade-off|rationale|decision|decisions|chose|prefer|prefers|alternative)\b"
 SYMBOL = r"[a-z][A-Z]|[A-Za-z]+\.[A-Za-z]+|[A-Za-z]+\(\)"
 FILE_PATH = r"\b((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+)\b"
+#: Java takes a step of recursion for each repetition of a group that it may give back, so here a path has at most FOLDERS folders at once; a longer one is found in parts.
+FOLDERS = 256
+JAVA_FILE_PATH = FILE_PATH.replace("/)+", f"/){{1,{FOLDERS}}}")
 
 
 def query_intent(task: Column) -> Column:
     task = F.coalesce(task, F.lit(""))
     return (
-        F.when(~task.rlike("[A-Za-z0-9]"), "signal_empty").when(task.rlike(FILE_PATH), "file_anchored").when(task.rlike(DECISION), "decision_lookup")
+        F.when(~task.rlike("[A-Za-z0-9]"), "signal_empty").when(task.rlike(JAVA_FILE_PATH), "file_anchored").when(task.rlike(DECISION), "decision_lookup")
         .when(task.rlike(SYMBOL), "exact_symbol").otherwise("broad_domain")
     )

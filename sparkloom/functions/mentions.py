@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import identifiers as I
 
 # Patterns of mentions.
-FILE_PATH = r"\b((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+)\b"
+FILE_PATH = I.FILE_PATH
 TEST_FILE = r"\b([A-Za-z0-9_.-]+(?:\.test\.ts|\.spec\.ts|_test\.py))\b"
 SYMBOL_CHAIN = r"\b([A-Z][A-Za-z0-9]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)\b"
 SYMBOL_BARE = r"^([A-Z][A-Za-z0-9]*)$"
@@ -18,6 +18,9 @@ ENV_VAR = r"\b([A-Z][A-Z0-9_]{3,})\b"
 TEST_ENDINGS = (".test.ts", ".spec.ts", "_test.py")
 CODE_SPAN = r"`([^`\n]+)`"
 PLACEHOLDER_SYMBOL = "^Xxx"
+#: The same without groups that Java may give back, as it recurses for each of their repetitions.
+JAVA_ROUTE = ROUTE.replace("){0,})", ")*+)")
+JAVA_SYMBOL_CHAIN = SYMBOL_CHAIN.replace("_]*)+)", "_]*+)++)")
 CONFIDENCE = ("low", "medium", "high")
 
 # What a path, a file name, a title and headings say about a document's purpose, the first that fits.
@@ -68,12 +71,12 @@ def _of_span(span: Column) -> Column:
     one = lambda *a: F.array(_mention(*a)).cast(_EMPTY)
     tests = F.regexp_extract_all(span, F.lit(TEST_FILE), F.lit(1))
     nested = F.size(F.filter(F.split(span, "/"), lambda s: s != "")) >= 2
-    is_route = span.rlike(ROUTE_METHOD) | (F.startswith(span, F.lit("/")) & (F.contains(span, F.lit(":")) | nested) & span.rlike(ROUTE))
-    is_file = F.get(F.regexp_extract_all(span, F.lit(FILE_PATH), F.lit(0)), F.lit(0)) == span
+    is_route = span.rlike(ROUTE_METHOD) | (F.startswith(span, F.lit("/")) & (F.contains(span, F.lit(":")) | nested) & span.rlike(JAVA_ROUTE))
+    is_file = F.get(F.regexp_extract_all(span, F.lit(I.JAVA_FILE_PATH), F.lit(0)), F.lit(0)) == span
     return (
         F.when(F.size(tests) > 0, F.transform(tests, lambda v: _mention("test", v, "high", "code_span")).cast(_EMPTY))
         .when(is_route, one("route", span, "high", "code_span")).when(is_file, one("file", span, "high", "explicit_path"))
-        .when(span.rlike("^" + SYMBOL_CHAIN.strip("\\b") + "$"), one("symbol", span, "high", "exact_symbol"))
+        .when(span.rlike("^" + JAVA_SYMBOL_CHAIN.strip("\\b") + "$"), one("symbol", span, "high", "exact_symbol"))
         .when(span.rlike(SYMBOL_BARE) & ~span.rlike(PLACEHOLDER_SYMBOL), one("symbol", span, "medium", "exact_symbol"))
         .otherwise(F.array().cast(_EMPTY))
     )
@@ -88,8 +91,8 @@ def mentions(text: Column) -> Column:
     is_test = lambda v: F.endswith(v, F.lit(TEST_ENDINGS[0])) | F.endswith(v, F.lit(TEST_ENDINGS[1])) | F.endswith(v, F.lit(TEST_ENDINGS[2]))
     parts = [
         F.transform(found(TEST_FILE), lambda v: _mention("test", v, "high", "code_span")),
-        F.transform(F.filter(found(FILE_PATH), lambda v: ~is_test(v)), lambda v: _mention("file", v, "medium", "explicit_path")),
-        F.transform(found(SYMBOL_CHAIN), lambda v: _mention("symbol", v, "low", "bare_identifier")),
+        F.transform(F.filter(found(I.JAVA_FILE_PATH), lambda v: ~is_test(v)), lambda v: _mention("file", v, "medium", "explicit_path")),
+        F.transform(found(JAVA_SYMBOL_CHAIN), lambda v: _mention("symbol", v, "low", "bare_identifier")),
         F.transform(F.filter(found(ENV_VAR), lambda v: F.contains(v, F.lit("_"))), lambda v: _mention("env_var", v, "medium", "bare_identifier")),
         F.transform(I.id_tokens(text), lambda v: _mention("id", v, "medium", "bare_identifier")),
     ]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import coverage, tokenize
+from ..sources.scratch import written
 
 # Classes of tokens with equal meaning (stems), and how long tokens are that match inside longer ones.
 CLASSES = (
@@ -53,7 +54,7 @@ WEIGHTS = {
 ALIAS_HITS, SEGMENT_BOOST, INHERITED = 4, 0.30, 0.15
 #: Kinds of aliases that name a source itself.
 IDENTITY = ("filename", "path", "title", "package", "symbol", "route")
-#: Distinct tokens of queries that are broadcast, with their matches, in a few megabytes; more are joined by a shuffle.
+#: What a profile shows.
 SURFACES = ("title", "path", "file", "heading", "intro", "alias")
 
 
@@ -102,7 +103,8 @@ def surfaces(candidates: DataFrame, stems=lambda tokens: tokens) -> DataFrame:
     whole = lambda text: stems(tokenize(text, split_identifiers=False))
     named = F.coalesce(c("title"), F.lit(""))
     joined = lambda texts: F.array_join(texts, " \n ")
-    aliases = F.coalesce(c("aliases"), F.array().cast("array<struct<kind:string,value:string>>"))
+    pairs = F.transform("aliases", lambda a: F.struct(a["kind"].alias("kind"), a["value"].alias("value")))
+    aliases = F.coalesce(pairs, F.array().cast("array<struct<kind:string,value:string>>"))
     values = lambda kinds: F.transform(F.filter(aliases, lambda a: a["kind"].isin(*kinds)) if kinds else aliases, lambda a: a["value"])
     heads = F.coalesce(c("headings"), F.array().cast("array<string>"))
     parent = F.regexp_extract(c("source"), r"([^/\\]+)[/\\]+[^/\\]*$", 1)
@@ -167,7 +169,7 @@ def asks_overview(tokens: Column, owner: Column) -> Column:
 def _segment_hit(segment: Column, tokens: Column, stems) -> Column:
     low = F.lower(segment)
     parts = F.filter(F.split(low, "[-_.]+"), lambda p: p != "")
-    forms = F.concat(F.array(low), parts, stems(F.flatten(F.transform(parts, tokenize))))
+    forms = F.concat(F.array(low), parts, stems(F.flatten(F.transform(parts, lambda p: tokenize(p)))))
     return segment.isNotNull() & F.arrays_overlap(forms, tokens)
 
 
@@ -178,7 +180,9 @@ def features(candidates: DataFrame, query: str, stems=lambda tokens: tokens) ->
     purpose, role, token_count, chunk_count, package_segment, version_segment; title is null where a source has no profile.
     """
     c = F.col
-    shown = surfaces(candidates, stems).withColumn("owner_tokens", owner_tokens(c("tokens"))).withColumn("has_profile", c("title").isNotNull())
+    # Written, as several steps read them: first the candidates, then their tokens, then what their tokens cover.
+    shown = surfaces(written(candidates, "candidates"), stems).withColumn("owner_tokens", owner_tokens(c("tokens"))).withColumn("has_profile", c("title").isNotNull())
+    shown = written(shown, "surfaces")
     out = shown.join(_weights(shown, query), c(query) == c("q")).drop("q")
     for s in SURFACES:
         out = out.withColumn(f"own_{s}", _covered(c(f"{s}_whole")))
@@ -187,7 +191,7 @@ def features(candidates: DataFrame, query: str, stems=lambda tokens: tokens) ->
     flat = {"title": "title_split", "path": "path_split", "heading": "heading_split"}
     out = out.withColumns({f"in_{s}": coverage(c("tokens"), c(col)) for s, col in flat.items()})
     out = out.withColumn("title_path", F.least("in_title", "in_path")).withColumn("rank_prior", 1 / F.sqrt(F.greatest(F.when(c("fused_rank") > 0, c("fused_rank")).otherwise(c("chunk_rank")), F.lit(1))))
-    out = out.withColumn("alias_hits", F.size(F.filter("tokens", lambda t: F.array_contains("alias_split", t))))
+    out = written(out.withColumn("alias_hits", F.size(F.filter("tokens", lambda t: F.array_contains("alias_split", t)))), "covered")
     # Whom the query's tokens name: identity by the best surface, support by headings and introduction, more where several agree.
     identity = F.greatest("own_file", c("own_title") * 0.9, c("own_path") * 0.78, c("own_alias") * 0.72, F.greatest(c("strong_file"), c("strong_title") * 0.9, c("strong_path") * 0.75) * 0.82)
     support = F.greatest(c("own_heading") * 0.22, c("own_intro") * 0.25)
@@ -234,7 +238,7 @@ def features(candidates: DataFrame, query: str, stems=lambda tokens: tokens) ->
         "intro": c("own_intro"), "alias_hits": F.least(c("alias_hits"), F.lit(ALIAS_HITS)), "owner": c("owner"), "overview": c("overview"), "purpose_fit": c("purpose_fit"),
     }
     score = sum(parts[k] * w for k, w in WEIGHTS.items()) + c("astray") + c("container") + c("narrow") + c("role_cost") + c("topology")
-    return out.withColumn("score", score)
+    return written(out.withColumn("score", score).drop("asks", *[x for x in out.columns if x.endswith(("_whole", "_split"))], "every_alias"), "scored")
 
 
 def landing_dir(source: Column) -> Column:

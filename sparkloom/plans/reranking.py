@@ -107,3 +107,117 @@ FROM heads LEFT JOIN sections ON sections.doc_id = heads.doc_id AND sections.i =
 def heading_aliases(spark, sf_dir):
     found = profiled(spark, sf_dir).select("path", F.posexplode("heading_aliases").alias("at", "a"))
     return found.select("path", (F.col("at") + 1).alias("place"), "a.surface", "a.normalized", "a.depth", F.array_join("a.section_path", " > ").alias("section"))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, text, tokens, intent): the items as questions."""
+    i = F.col("item_id")
+    prefix = F.element_at(F.array(*[F.lit(p) for p in PREFIXES]), (i % len(PREFIXES) + 1).cast("int"))
+    text = F.concat(prefix, F.coalesce("text", F.lit("")))
+    return _table(spark, sf_dir, "benchmark").select("item_id", text.alias("task")).select("item_id", "task", T.tokenize(F.col("task")).alias("tokens"), identifiers.query_intent(F.col("task")).alias("intent"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sources of each task with their profiles, as the re-ranking takes them."""
+    c = F.col
+    top = _ranked(spark, sf_dir, TOP).select("item_id", "doc_id", c("score").alias("chunk_score"), c("rank").alias("chunk_rank"))
+    known = profiled(spark, sf_dir).withColumn("headings", F.transform("outline", lambda h: h["text"])).drop("outline", "summary", "questions", "slugs", "title_tokens", "heading_aliases")
+    return top.join(known, "doc_id").join(tasks(spark, sf_dir), "item_id").withColumn("fused_rank", F.lit(None).cast("int")).withColumnRenamed("path", "source")
+
+
+def _names(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _whole(col: str) -> str:
+    """The tokenizer without splitting identifiers."""
+    raw = f"list_transform(list_filter(regexp_split_to_array(coalesce({col}, ''), '{_SEP}'), lambda x: x <> ''), lambda x: lower(x))"
+    clean = f"list_transform(list_filter({raw}, lambda x: length(x) > 1), lambda x: regexp_replace(x, '[^a-z0-9_]', '', 'g'))"
+    return f"list_filter({clean}, lambda x: length(x) > 1 AND x NOT IN ({_names(T.STOP_WORDS)}))"
+
+
+_SEP = T.SEPARATORS.replace("'", "''")
+_CLASS = lambda t: "CASE " + " ".join(f"WHEN {t} IN ({_names(k)}) THEN '{k[0]}'" for k in rerank.CLASSES) + f" ELSE {t} END"
+_EQUAL = lambda t: "CASE " + " ".join(f"WHEN {t} IN ({_names(k)}) THEN {list(k)}" for k in rerank.CLASSES) + f" ELSE [{t}] END"
+_ANY = lambda col, names: f"len(list_filter({col}, lambda t: t IN ({_names(names)}))) > 0"
+_INTENT = (
+    f"CASE WHEN NOT regexp_matches(task, '[A-Za-z0-9]') THEN 'signal_empty' WHEN regexp_matches(task, '{identifiers.FILE_PATH}') THEN 'file_anchored' WHEN regexp_matches(task, '{identifiers.DECISION}') THEN 'decision_lookup' "
+    f"WHEN regexp_matches(task, '{identifiers.SYMBOL}') THEN 'exact_symbol' ELSE 'broad_domain' END"
+)
+_FIT = "CASE " + " ".join(f"WHEN intent = '{k}' AND purpose = '{p}' THEN {w}" for k, t in rerank.PURPOSE_FITS.items() for p, w in t.items()) + " ELSE 0.0 END"
+_OWN = lambda s: f"coalesce(max(cover) FILTER (s = '{s}'), 0.0) AS own_{s}, coalesce(max(best) FILTER (s = '{s}'), 0.0) AS strong_{s}"
+_COVER = lambda col: f"CASE WHEN len(tokens) > 0 THEN CAST(len(list_filter(tokens, lambda t: list_contains({col}, t))) AS DOUBLE) / len(tokens) ELSE 0.0 END"
+_VALUES = lambda kinds: "array_to_string(list_transform(" + (f"list_filter(aliases, lambda a: a.k IN ({_names(kinds)}))" if kinds else "aliases") + ", lambda a: a.v), chr(10))"
+_MIGRATION = rerank.MIGRATION.replace("'", "''")
+_SEGMENT = lambda s: f"({s} IS NOT NULL AND len(list_intersect([lower({s})] || list_filter(regexp_split_to_array(lower({s}), '[-_.]+'), lambda p: p <> '') || flatten(list_transform(list_filter(regexp_split_to_array(lower({s}), '[-_.]+'), lambda p: p <> ''), lambda p: {sql_tokens('p')})), tokens)) > 0)"
+_MODEL = f"""r_tasks AS (SELECT item_id, {_PICK(PREFIXES, 'item_id')} || coalesce(text, '') AS task FROM benchmark),
+r_asked AS (SELECT item_id, task, {sql_tokens('task')} AS tokens, {_INTENT} AS intent FROM r_tasks),
+r_every AS (SELECT *, list_distinct(flatten(list_transform(tokens, lambda t: {_EQUAL('t')}))) AS eq FROM r_asked),
+r_own AS (SELECT *, CASE WHEN len(list_filter(eq, lambda t: t NOT IN ({_names(rerank.NOISE)}))) > 0 THEN list_filter(eq, lambda t: t NOT IN ({_names(rerank.NOISE)})) ELSE eq END AS own FROM r_every),
+r_cand AS (
+  SELECT item_id, p.*, p.path AS src, score AS chunk_score, rank AS chunk_rank, r_own.tokens, intent, own, array_to_string(list_transform(outline, lambda h: h.x), chr(10)) AS heads FROM ranked JOIN profiled p USING (doc_id) JOIN r_own USING (item_id) WHERE rank <= {TOP}
+), r_doc AS (SELECT DISTINCT doc_id, path, title, h1, intro, aliases, heads FROM r_cand),
+r_surf AS (
+  SELECT doc_id, 'title' AS s, unnest({_whole('title')}) AS token FROM r_doc UNION ALL SELECT doc_id, 'path', unnest({_whole('path')}) FROM r_doc
+  UNION ALL SELECT doc_id, 'file', unnest({_whole("regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]+$', '')")}) FROM r_doc UNION ALL SELECT doc_id, 'heading', unnest({_whole('heads')}) FROM r_doc
+  UNION ALL SELECT doc_id, 'intro', unnest({_whole('intro')}) FROM r_doc UNION ALL SELECT doc_id, 'alias', unnest({_whole(_VALUES(rerank.IDENTITY))}) FROM r_doc
+  UNION ALL SELECT doc_id, 'h1', unnest({_whole('h1')}) FROM r_doc UNION ALL SELECT doc_id, 'all', unnest({_whole(_VALUES(()))}) FROM r_doc
+), r_owns AS (SELECT item_id, unnest(own) AS token, len(own) AS n_own FROM r_own),
+r_ask_parts AS (SELECT DISTINCT token, {_CLASS('token')} AS class, unnest({_EQUAL('token')}) AS part FROM r_owns),
+r_known AS (SELECT DISTINCT token FROM r_surf), r_known_parts AS (SELECT token, {_CLASS('token')} AS class, unnest({_EQUAL('token')}) AS whole FROM r_known),
+r_forms AS (
+  SELECT DISTINCT a.token, k.token AS form FROM r_ask_parts a JOIN r_known_parts k ON a.class = k.class
+  UNION SELECT DISTINCT a.token, k.token FROM r_ask_parts a JOIN r_known_parts k ON length(a.part) >= 5 AND length(k.whole) >= length(a.part) + 3 AND contains(k.whole, a.part)
+), r_met AS (SELECT DISTINCT c.item_id, c.doc_id, s.s, o.token FROM r_cand c JOIN r_owns o ON o.item_id = c.item_id JOIN r_forms f ON f.token = o.token JOIN r_surf s ON s.doc_id = c.doc_id AND s.token = f.form),
+r_n AS (SELECT item_id, count(*) AS n FROM r_cand GROUP BY 1), r_df AS (SELECT item_id, token, count(DISTINCT doc_id) AS df FROM r_met WHERE s <> 'alias' GROUP BY 1, 2),
+r_weights AS (SELECT o.item_id, o.token, n_own, greatest(0.18, least(1.0, CASE WHEN df IS NULL THEN 0.55 ELSE 0.20 + ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) / ln(n + 1.0::DOUBLE) END)) AS w FROM r_owns o JOIN r_n USING (item_id) LEFT JOIN r_df USING (item_id, token)),
+r_cover AS (SELECT item_id, doc_id, s, sum(w) / any_value(n_own) AS cover, max(w) AS best FROM r_met JOIN r_weights USING (item_id, token) GROUP BY 1, 2, 3),
+r_surfaces AS (SELECT item_id, doc_id, {", ".join(_OWN(s) for s in rerank.SURFACES)} FROM r_cover GROUP BY 1, 2),
+r_split AS (
+  SELECT c.*, {sql_tokens('c.title')} AS title_split, {sql_tokens('c.path')} AS path_split, {sql_tokens('c.heads')} AS heading_split, {sql_tokens(_VALUES(()))} AS alias_split, {sql_tokens("regexp_replace(regexp_extract(c.path, '[^/]*$'), '[.][^.]+$', '')")} AS leaf_split,
+    {_whole('c.title')} AS title_whole, {_whole("regexp_replace(regexp_extract(c.path, '[^/]*$'), '[.][^.]+$', '')")} AS file_whole, {_whole("regexp_extract(c.path, '([^/]+)/+[^/]*$', 1)")} AS parent_whole,
+    {", ".join(f"coalesce(own_{s}, 0.0) AS own_{s}, coalesce(strong_{s}, 0.0) AS strong_{s}" for s in rerank.SURFACES)}
+  FROM r_cand c LEFT JOIN r_surfaces USING (item_id, doc_id)
+), r_a AS (
+  SELECT *, {_COVER('title_split')} AS in_title, {_COVER('path_split')} AS in_path, {_COVER('heading_split')} AS in_heading, 1 / sqrt(greatest(chunk_rank, 1)) AS rank_prior,
+    least(len(list_filter(tokens, lambda t: list_contains(alias_split, t))), 4) AS alias_hits, greatest(own_title, own_path, own_heading, own_intro, own_alias) AS topic,
+    CAST(own_file >= 0.2 AS INTEGER) + CAST(own_title >= 0.2 AS INTEGER) + CAST(own_path >= 0.2 AS INTEGER) + CAST(own_alias >= 0.2 AS INTEGER) AS names, CAST(own_heading >= 0.2 AS INTEGER) + CAST(own_intro >= 0.2 AS INTEGER) AS backs,
+    greatest(own_file, own_title, own_path, own_alias) AS named, greatest(own_heading, own_intro) AS backed,
+    regexp_matches(array_to_string(tokens, ' '), '{_MIGRATION}') OR (list_contains(tokens, 'move') AND len(list_filter(tokens, lambda t: regexp_matches(t, '(?i)^v?[0-9]+([.][0-9]+)*$'))) > 0) AS moves,
+    {_ANY('leaf_split', rerank.BROAD_NAMES)} OR {_ANY('title_split', rerank.BROAD_NAMES)} AS broad,
+    {_ANY('tokens', rerank.OVERVIEW_ASKED)} OR (list_contains(tokens, 'how') AND list_contains(tokens, 'work')) OR (list_contains(tokens, 'what') AND len(own) <= 1) AS asks_overview,
+    stem IN ({_names(rerank.LANDINGS)}) OR {_ANY('title_whole', rerank.OVERVIEW_NAMES)} OR {_ANY('parent_whole', rerank.OVERVIEW_NAMES)} AS landing FROM r_split
+), r_b AS (
+  SELECT *, greatest(0.0, least(1.0, greatest(own_file, own_title * 0.9, own_path * 0.78, own_alias * 0.72, greatest(strong_file, strong_title * 0.9, strong_path * 0.75) * 0.82) + greatest(own_heading * 0.22, own_intro * 0.25)
+      + CASE WHEN names >= 2 THEN 0.10 ELSE 0.0 END + CASE WHEN names >= 1 AND backs >= 1 THEN 0.08 ELSE 0.0 END + CASE WHEN intent = 'file_anchored' AND own_file > 0 AND names >= 2 THEN 0.10 ELSE 0.0 END)) AS owner,
+    CASE WHEN asks_overview AND landing AND topic > 0 THEN greatest(0.0, least(1.0, 0.52 + topic * 0.35 + CASE WHEN stem IN ('overview', 'readme') THEN 0.10 ELSE 0.0 END + CASE WHEN len(own) <= 1 THEN 0.10 ELSE 0.0 END)) ELSE 0.0 END AS overview,
+    CASE WHEN moves AND purpose IN ({_names(rerank.RELEASES)}) THEN greatest({_FIT}, 0.30) ELSE {_FIT} END AS purpose_fit,
+    CASE WHEN purpose IN ({_names(rerank.RELEASES)}) AND NOT moves THEN -0.20 ELSE 0.0 END - CASE WHEN purpose = 'api_reference' AND intent = 'decision_lookup' THEN 0.10 ELSE 0.0 END AS astray,
+    backed >= 0.20 AND named < 0.15 AS by_heads,
+    CASE WHEN intent IN ('broad_domain', 'decision_lookup') AND stem NOT IN ({_names(rerank.LANDINGS)}) AND greatest(strong_file, strong_title) <= 0 AND own_path >= 0.20 AND greatest(own_title, own_file) < 0.35
+      AND len(list_filter(title_whole || file_whole, lambda t: t NOT IN ({_names(rerank.NOISE)}) AND NOT list_contains(list_transform(own, lambda o: {_CLASS('o')}), {_CLASS('t')}))) > 0 THEN -0.10 ELSE 0.0 END AS narrow,
+    CASE WHEN role = 'archive' THEN -0.15 ELSE 0.0 END AS role_cost, CASE WHEN {_SEGMENT('package_segment')} THEN 0.30 ELSE 0.0 END + CASE WHEN {_SEGMENT('version_segment')} THEN 0.30 ELSE 0.0 END AS topology FROM r_a
+), r_c AS (
+  SELECT *, CASE WHEN overview <= 0.5 THEN greatest(-0.42, CASE WHEN by_heads AND (token_count >= 2500 OR chunk_count >= 15) THEN CASE WHEN intent = 'file_anchored' THEN -0.22 ELSE -0.15 END ELSE 0.0 END + CASE WHEN by_heads AND broad THEN -0.12 ELSE 0.0 END
+    + CASE WHEN purpose = 'api_reference' AND intent IN ('broad_domain', 'file_anchored') AND named < 0.35 THEN -0.10 ELSE 0.0 END + CASE WHEN broad AND named < 0.20 AND backed > 0 THEN -0.08 ELSE 0.0 END) ELSE 0.0 END AS container FROM r_b
+), r_model AS (
+  SELECT *, chunk_score * 0.62 + rank_prior * 0.08 + in_title * 0.28 + in_path * 0.30 + least(in_title, in_path) * 0.20 + in_heading * 0.05 + own_file * 0.18 + own_intro * 0.05 + alias_hits * 0.025 + owner * 0.72 + overview * 0.65 + purpose_fit * 0.35
+    + astray + container + narrow + role_cost + topology AS model_score FROM r_c
+), r_order AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY chunk_rank, src) AS k,
+  CASE WHEN regexp_extract(src, '(?i)^(.*/)(?:index|README)[.](?:md|mdx)$', 1) <> '' THEN regexp_extract(src, '(?i)^(.*/)(?:index|README)[.](?:md|mdx)$', 1) ELSE regexp_extract(src, '(?i)^(.+)[.](?:md|mdx)$', 1) || '/' END AS dir FROM r_model),
+r_kids AS (SELECT a.item_id, a.k, list(b.k) AS kids FROM r_order a JOIN r_order b ON a.item_id = b.item_id AND a.src <> b.src AND starts_with(b.src, a.dir) GROUP BY 1, 2),
+r_lists AS (SELECT item_id, any_value(intent) AS intent, list(model_score ORDER BY o.k) AS scores, list(coalesce(kids, []) ORDER BY o.k) AS kids FROM r_order o LEFT JOIN r_kids USING (item_id, k) GROUP BY 1),
+r_fold AS (
+  SELECT item_id, intent, kids, scores, 1 AS k FROM r_lists
+  UNION ALL SELECT item_id, intent, kids, list_transform(scores, lambda s, j: CASE WHEN j = k AND intent <> 'signal_empty' AND coalesce(list_max(list_transform(kids[k], lambda x: scores[x])), 0) > 0 AND least(scores[k], list_max(list_transform(kids[k], lambda x: scores[x]))) > 0
+      THEN s + 0.15 * least(scores[k], list_max(list_transform(kids[k], lambda x: scores[x]))) ELSE s END), k + 1 FROM r_fold WHERE k <= len(scores)
+), r_final AS (SELECT o.*, f.scores[o.k] AS final, row_number() OVER (PARTITION BY o.item_id ORDER BY round(f.scores[o.k], 9) DESC, chunk_rank, src) AS rerank_rank FROM r_order o JOIN r_fold f ON f.item_id = o.item_id AND f.k = len(f.scores) + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_ALL_RANKED}, {_PROFILES}, {_MODEL}
+SELECT item_id, src AS source, intent, round(in_title, 6) AS in_title, round(in_path, 6) AS in_path, round(in_heading, 6) AS in_heading, round(own_file, 6) AS own_file, round(owner, 6) AS owner, round(overview, 6) AS overview, purpose_fit, round(astray, 6) AS astray,
+  round(container, 6) AS container, narrow, role_cost, topology, round(model_score, 6) AS model_score, round(final, 6) AS score, CAST(rerank_rank AS INTEGER) AS rerank_rank FROM r_final""")
+def source_rerank(spark, sf_dir):
+    out = rerank.reranked(candidates(spark, sf_dir), "item_id")
+    six = lambda n: F.round(n, 6).alias(n)
+    return out.select("item_id", "source", "intent", *map(six, ("in_title", "in_path", "in_heading", "own_file", "owner", "overview")), "purpose_fit", *map(six, ("astray", "container")), "narrow", "role_cost", "topology", *map(six, ("model_score", "score")), "rerank_rank")

@@ -122,7 +122,7 @@ def render(blocks: list[tuple]) -> str:
 
 def _quality(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.size(F.filter(lines, lambda x: x.rlike(I.SUSPICIOUS) | (~x.rlike(I.TABLE_RULE) & (x.rlike(I.SUSPICIOUS_SHAPE) | ((F.length(x) > 30) & (I.symbol_ratio(x) > 0.45))))))
+    return F.size(F.filter(lines, lambda x: x.rlike(I.SUSPICIOUS) | (~x.rlike(I.JAVA_TABLE_RULE) & (x.rlike(I.SUSPICIOUS_SHAPE) | ((F.length(x) > 30) & (I.symbol_ratio(x) > 0.45))))))
 
 
 def documents(files: DataFrame) -> DataFrame:
