@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SECOND = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
@@ -102,3 +104,14 @@ def with_stems(terms: DataFrame, term: str = "term") -> DataFrame:
 
     stems = terms.select(term).where(F.col(term).isNotNull()).distinct().mapInPandas(step, "__term string, stem string")
     return terms.join(stems, F.col(term) == F.col("__term"), "left").drop("__term")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stemmed(tokens: pd.Series) -> pd.Series:
+    """Arrays of tokens with each token's stem; a worker stems a token once."""
+    return tokens.map(lambda ts: None if ts is None else [_remembered(t) for t in ts])
+
+
+@functools.lru_cache(maxsize=200_000)
+def _remembered(word: str) -> str:
+    return stem(word)
