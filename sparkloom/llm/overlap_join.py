@@ -32,7 +32,10 @@ from .words import NON_SPACE_BYTES, hashes, mix, shingle_hashes, spans
 
 SIZE, PERCENT = 5, 80
 SLOT_BITS = 20
-BITMAP = 2048
+#: Least and greatest bits of a parity bitmap; between them a set has as many as it has members, to the next power of two.
+BITMAP, BITMAP_MOST = 2048, 1 << 16
+#: Bytes of bitmaps that are compared at once.
+_COMPARED = 1 << 24
 #: Nodes of one posting list that meet in a task, and members and shingles of a part of a family.
 LIST_ROWS, GROUP_ROWS, GROUP_SHINGLES = 2048, 512, 200_000
 #: Weight of a probe against a merge step, as DivideSkip's authors fit it.
@@ -78,6 +81,27 @@ def needed_of(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (x + y) // (100 + percent))
 
 
+def bitmap_bits(size: np.ndarray) -> np.ndarray:
+    return np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), BITMAP, BITMAP_MOST)
+
+
+def apart(bitmaps: list[bytes], size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps of x and y differ, at the lesser width of the two: the halves of a wider one are added up bit by bit."""
+    wide = bitmap_bits(size)
+    least = np.minimum(wide[x], wide[y])
+    out = np.zeros(len(x), np.int64)
+    for w in np.unique(least).tolist():
+        of = np.flatnonzero(least == w)
+        need = np.unique(np.concatenate((x[of], y[of])))
+        place = np.zeros(len(size), np.int64)
+        place[need] = np.arange(len(need))
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(bitmaps[i], np.uint64).reshape(-1, w // 64), axis=0) for i in need.tolist()])
+        for at in range(0, len(of), max(1, _COMPARED * 8 // w)):
+            some = of[at : at + max(1, _COMPARED * 8 // w)]
+            out[some] = _distance(folded[place[x[some]]], folded[place[y[some]]])
+    return out
+
+
 def slot_counts(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
     """How many shingles of all documents, each counted once a document, fall in each slot: 2**SLOT_BITS numbers, whatever the table's size."""
     width = 1 << 14
@@ -136,11 +160,13 @@ def sketches(rows: DataFrame, size: int, percent: int, text_col: str) -> DataFra
                     begin = ends - n
                     many = n - needed(n, percent) + (n > 0)
                     raw = h.tobytes()
-                    parity = np.bincount(owner * BITMAP + (h & np.uint64(BITMAP - 1)).astype(np.int64), minlength=part.num_rows * BITMAP) & 1
-                    bits = np.packbits(parity.astype(np.uint8).reshape(part.num_rows, BITMAP), axis=1, bitorder="little")
+                    wide = bitmap_bits(n)
+                    base = np.cumsum(wide) - wide
+                    parity = np.bincount(base[owner] + (h & (wide[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=int(wide.sum())) & 1
+                    bits = np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
                     yield {
                         "row": part.column(0), "d0": sums[0], "d1": sums[1], "size": n, "first": pa.array([raw[8 * a : 8 * (a + m)] for a, m in zip(begin.tolist(), many.tolist())], pa.binary()),
-                        "bitmap": pa.array([b.tobytes() for b in bits], pa.binary()),
+                        "bitmap": pa.array([bits[a // 8 : (a + w) // 8] for a, w in zip(base.tolist(), wide.tolist())], pa.binary()),
                     }
 
     return stash(map_arrow(rows, step, "row bigint, d0 bigint, d1 bigint, size bigint, first binary, bitmap binary", [ROW, text_col]), "sketches")
@@ -191,15 +217,13 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
         for held in _shards(batches, ("key", "node", "side", "size", "bitmap")):
             size = np.array([len(g["node"]) for g in held])
             node, side, n, raw = (np.concatenate([g[k] for g in held]) for k in ("node", "side", "size", "bitmap"))
-            bits = np.frombuffer(b"".join(raw), np.uint64).reshape(len(node), -1)
 
             def close() -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 for x, y in pairs(np.cumsum(size) - size, size):
                     fit = (side[x] == 0) | (side[x] != side[y])
                     fit &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
                     x, y = x[fit], y[fit]
-                    apart = n[x] + n[y] - 2 * needed_of(n[x], n[y], percent)
-                    fit = _distance(bits[x], bits[y]) <= apart
+                    fit = apart(raw, n, x, y) <= n[x] + n[y] - 2 * needed_of(n[x], n[y], percent)
                     yield x[fit], y[fit]
 
             _, known = np.unique(node, return_inverse=True)

@@ -319,3 +319,20 @@ def test_op11_against_brute_force(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in queries.op11_jaccard_join(spark, sf).collect()), key=_key)
     assert got == sorted(_components(rows), key=_key) and len({r[2] for r in got}) < len(rows)
+
+
+@pytest.mark.parametrize("scale", [10, 3000, 90_000])
+def test_op11_bitmaps_never_exceed_the_difference(scale):
+    rng = np.random.default_rng(scale)
+    sets = [np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)) for size in (scale, scale + scale // 5)]
+    sets += [np.unique(np.concatenate((sets[0][: scale - scale // 10], rng.integers(0, 2**63, scale // 10 + 1, dtype=np.uint64))))]
+    size = np.array([len(s) for s in sets])
+    maps = []
+    for s, w in zip(sets, overlap_join.bitmap_bits(size).tolist()):
+        parity = np.bincount((s & np.uint64(w - 1)).astype(np.int64), minlength=w) & 1
+        maps.append(np.packbits(parity.astype(np.uint8), bitorder="little").tobytes())
+    x, y = np.array([1, 2, 2]), np.array([0, 0, 1])
+    differ = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y)])
+    got = overlap_join.apart(maps, size, x, y)
+    assert (got <= differ).all() and ((differ - got) % 2 == 0).all()
+    assert scale < 1000 or got[0] > 0.3 * size[0] > got[1]
