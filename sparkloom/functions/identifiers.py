@@ -99,7 +99,9 @@ SYMBOL = r"[a-z][A-Z]|[A-Za-z]+\.[A-Za-z]+|[A-Za-z]+\(\)"
 FILE_PATH = r"\b((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+)\b"
 #: Java takes a step of recursion for each repetition of a group that it may give back, so here a path has at most FOLDERS folders at once; a longer one is found in parts.
 FOLDERS = 256
-JAVA_FILE_PATH = FILE_PATH.replace("/)+", f"/){{1,{FOLDERS}}}")
+#: The first place of a run of these characters where a word may begin: a match from any later one begins there too, so each run is tried once.
+RUN_START = r"(?<![A-Za-z0-9_.-])[.-]*+"
+JAVA_FILE_PATH = FILE_PATH.replace("/)+", f"/){{1,{FOLDERS}}}").replace(r"\b(", RUN_START + "(", 1)
 
 
 def query_intent(task: Column) -> Column:

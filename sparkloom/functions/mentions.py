@@ -20,6 +20,7 @@ CODE_SPAN = r"`([^`\n]+)`"
 PLACEHOLDER_SYMBOL = "^Xxx"
 #: The same without groups that Java may give back, as it recurses for each of their repetitions.
 JAVA_ROUTE = ROUTE.replace("){0,})", ")*+)")
+JAVA_TEST_FILE = TEST_FILE.replace(r"\b(", I.RUN_START + "(", 1)
 JAVA_SYMBOL_CHAIN = SYMBOL_CHAIN.replace("_]*)+)", "_]*+)++)")
 CONFIDENCE = ("low", "medium", "high")
 
@@ -69,10 +70,10 @@ _EMPTY = "array<struct<kind:string,value:string,rank:int,source:string>>"
 def _of_span(span: Column) -> Column:
     """What a code span mentions: the first of tests, routes, a file, a symbol."""
     one = lambda *a: F.array(_mention(*a)).cast(_EMPTY)
-    tests = F.regexp_extract_all(span, F.lit(TEST_FILE), F.lit(1))
+    tests = F.regexp_extract_all(span, F.lit(JAVA_TEST_FILE), F.lit(1))
     nested = F.size(F.filter(F.split(span, "/"), lambda s: s != "")) >= 2
     is_route = span.rlike(ROUTE_METHOD) | (F.startswith(span, F.lit("/")) & (F.contains(span, F.lit(":")) | nested) & span.rlike(JAVA_ROUTE))
-    is_file = F.get(F.regexp_extract_all(span, F.lit(I.JAVA_FILE_PATH), F.lit(0)), F.lit(0)) == span
+    is_file = F.get(F.regexp_extract_all(span, F.lit(I.JAVA_FILE_PATH), F.lit(1)), F.lit(0)) == span
     return (
         F.when(F.size(tests) > 0, F.transform(tests, lambda v: _mention("test", v, "high", "code_span")).cast(_EMPTY))
         .when(is_route, one("route", span, "high", "code_span")).when(is_file, one("file", span, "high", "explicit_path"))
@@ -90,7 +91,7 @@ def mentions(text: Column) -> Column:
     found = lambda p: F.regexp_extract_all(prose, F.lit(p), F.lit(1))
     is_test = lambda v: F.endswith(v, F.lit(TEST_ENDINGS[0])) | F.endswith(v, F.lit(TEST_ENDINGS[1])) | F.endswith(v, F.lit(TEST_ENDINGS[2]))
     parts = [
-        F.transform(found(TEST_FILE), lambda v: _mention("test", v, "high", "code_span")),
+        F.transform(found(JAVA_TEST_FILE), lambda v: _mention("test", v, "high", "code_span")),
         F.transform(F.filter(found(I.JAVA_FILE_PATH), lambda v: ~is_test(v)), lambda v: _mention("file", v, "medium", "explicit_path")),
         F.transform(found(JAVA_SYMBOL_CHAIN), lambda v: _mention("symbol", v, "low", "bare_identifier")),
         F.transform(F.filter(found(ENV_VAR), lambda v: F.contains(v, F.lit("_"))), lambda v: _mention("env_var", v, "medium", "bare_identifier")),

@@ -211,7 +211,7 @@ def close_calls(selected: DataFrame, query: str, stems=lambda tokens: tokens) ->
     at = lambda k: F.max(F.when(c("selection_rank") == k, card))
     pairs = selected.where(c("selection_rank") <= 2).groupBy(query).agg(at(1).alias("a"), at(2).alias("b"), F.first("intent").alias("intent")).where(c("b").isNotNull())
     pairs = pairs.withColumn("margin", c("a.selection_score") - c("b.selection_score")).where(F.round("margin", 9) < CLOSE)
-    return pairs.withColumn("verdict", verdict(pair_votes(c("a"), c("b"), c("intent"), stems)))
+    return pairs.withColumn("votes", pair_votes(c("a"), c("b"), c("intent"), stems)).withColumn("verdict", verdict(c("votes")))
 
 
 def swapped(selected: DataFrame, query: str, stems=lambda tokens: tokens) -> DataFrame:

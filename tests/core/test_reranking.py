@@ -79,7 +79,8 @@ def test_selection(spark):
 def pair(spark, a, b, intent):
     schema = "source string, tokens array<string>, role string, canonicality string, family string, relation string, hit string, field string, anchors array<string>, title_coverage double"
     df = spark.createDataFrame([(a, b, intent)], f"a struct<{schema}>, b struct<{schema}>, intent string")
-    return df.select(select.verdict(select.pair_votes(F.col("a"), F.col("b"), F.col("intent"), stemmed)).alias("v")).first()["v"].asDict()
+    votes = df.select(select.pair_votes(F.col("a"), F.col("b"), F.col("intent"), stemmed).alias("votes"))
+    return votes.select(select.verdict(F.col("votes")).alias("v")).first()["v"].asDict()
 
 
 def card(source, tokens="x", role="guide", canon="leaf", family=None, relation=None, hit="none", field="none", anchors=(), title=0.0):
@@ -125,7 +126,11 @@ def test_profiles(spark):
 
 def test_long_lines_kill_no_task(spark):
     n = 100_000
-    texts = ["a/" * n + "b.c", "Foo" + ".bar" * n, "/x" * n, "|" + "---|" * n, "`" + "/y" * n + "`", "A" * n + ".B" * n, "a-" * n, "x" * n + "/" * n]
+    texts = ["a/" * n + "b.c", "Foo" + ".bar" * n, "/x" * n, "|" + "---|" * n, "A" * n + ".B" * n, "a-" * n, "x" * n + "/" * n, "a-" * n + "_test.py"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = df.select(identifiers.query_intent(F.col("t")).alias("i"), identifiers.layout_risk(F.col("t")), F.size(mentions.mentions(F.col("t"))), F.size(identifiers.id_tokens(F.col("t")))).collect()
-    assert got[0]["i"] == "file_anchored"
+    found = lambda p: F.size(F.regexp_extract_all("t", F.lit(p), F.lit(1)))
+    got = df.select(
+        identifiers.query_intent(F.col("t")).alias("i"), identifiers.layout_risk(F.col("t")), found(mentions.JAVA_ROUTE), found(mentions.JAVA_SYMBOL_CHAIN), found(mentions.JAVA_TEST_FILE).alias("tests"),
+        found(identifiers.JAVA_FILE_PATH).alias("files"),
+    ).collect()
+    assert got[0]["i"] == "file_anchored" and got[0]["files"] == 1 and got[7]["tests"] == 1
