@@ -11,7 +11,7 @@ from ..functions.identifiers import SUSPICIOUS, SUSPICIOUS_SHAPE
 LINE, CELL, PARAGRAPH = 0.5, 1.5, 1.8
 #: Points between items that are a space; less is kerning.
 SPACE = 1.0
-SCHEDULE, PART = r"^Schedule\s+(?!of\b)[A-Z0-9]", r"^Part\s+[IVXLC0-9]+\b"
+SCHEDULE, PART = r"^Schedule\s+[A-Z0-9]", r"^Part\s+[IVXLC0-9]+\b"
 LEADERS = r"^(.*?[^\s.])\s*(?:\.\s?+){3,}+\s*([^\s.].*)$"
 #: A value of more words than this without a digit is prose.
 VALUE_WORDS = 3
