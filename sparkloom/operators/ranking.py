@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.scratch import written
 
 # Field weights and the constants of BM25.
 FIELD_WEIGHTS = {"title": 2.5, "heading_path": 1.5, "body": 1.0}
@@ -50,7 +50,7 @@ def term_counts(index: DataFrame, key: str) -> DataFrame:
 
 def occurrences(index: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """(key, field, term, pos, n): one row for each place where a wanted term stands, and one for all other tokens of a field together, with
-    their number and neither term nor place. Kept on disk, so that an index which is tokenised as it is read is read once.
+    their number and neither term nor place. Written to the shared folder, so that an index which is tokenised as it is read is read once.
 
     Tokens are told apart before anything is shuffled: the wanted terms are broadcast, unless they are more than BROADCAST_TERMS.
     """
@@ -58,7 +58,7 @@ def occurrences(index: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
     hit = F.col("t").isNotNull()
     told = index.join(wanted, F.col("term") == F.col("t"), "left").select(key, "field", F.when(hit, F.col("term")).alias("term"), F.when(hit, F.col("pos")).alias("pos"))
-    return told.groupBy(key, "field", "term", "pos").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.DISK_ONLY)
+    return written(told.groupBy(key, "field", "term", "pos").agg(F.count(F.lit(1)).alias("n")), "occurrences")
 
 
 def phrase_places(found: DataFrame, terms: DataFrame, key: str, query: str) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import budget, changes, ranking
+from ..operators import budget, changes, ranking, ranks
 from ..sources import html
+from ..sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,7 +106,7 @@ def _ranked(spark: SparkSession, sf_dir: str, top: int | None = None) -> DataFra
     if top:
         ranked = ranking.top_per_query(scored, "item_id", top, F.desc("score"), "doc_id")
     else:
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")))
+        ranked = ranks.ranked(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")]).withColumn("rank", F.col("rank").cast("int"))
     return ranked.join(docs, "doc_id").select("item_id", "doc_id", "source", "tokens", "score", "rank")
 
 
@@ -278,14 +279,18 @@ def html_blocks(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"), F.array_join(html.list_items(F.col("html")), "|").alias("items"))
 
 
-@query(f"""WITH {_ALL_RANKED}, truth AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+@query(f"""WITH {_ALL_RANKED}, truth AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 5),
 hit AS (SELECT item_id, min(rank) AS r FROM ranked JOIN truth USING (item_id, doc_id) GROUP BY 1), cases AS (SELECT DISTINCT item_id FROM truth)
 SELECT count(*) AS cases, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END), 6) AS top3, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM cases LEFT JOIN hit USING (item_id)""")
 def eval_mrr(spark, sf_dir):
-    """Known answers are the documents that contain a task's text; the tasks are few, so each document is scanned for all of them."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
-    truth = docs.join(F.broadcast(items), F.contains("text", F.col("t"))).select("item_id", "doc_id")
+    """Known answers are the documents that contain a task's text of five words or more: documents and tasks meet by the task's second to fourth word, then are compared."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda k: F.array_join(F.slice(w, k, F.lit(3)), " "))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", " ", -1).alias("w")).where(F.size("w") >= 5)
+    words = F.split("t", " ", -1)
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t")).where(F.size(words) >= 5).withColumn("run", F.array_join(F.slice(words, 2, 3), " "))
+    met = docs.select("doc_id", F.explode(F.array_distinct(runs(F.col("w")))).alias("run")).join(items.select("item_id", "run"), "run").select("item_id", "doc_id").distinct()
+    pairs = met.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "t"), "item_id")
+    truth = written(pairs.where(F.contains("text", F.col("t"))).select("item_id", "doc_id"), "truth")
     hit = _ranked(spark, sf_dir).join(truth, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("r"))
     cases = truth.select("item_id").distinct().join(hit, "item_id", "left")
     rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
