@@ -17,7 +17,11 @@ from sparkloom.llm._common import ROW, kept, numbered, remove, scratch, shared_d
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what langid.keep_known keeps. A table without the column lang keeps everything that has a letter, as nothing is learned."""
+    """Keep what langid.keep_known keeps. A table without the column lang keeps everything that has a letter, as nothing is learned.
+
+    Defined cases: null, empty and letterless texts go; so does everything of an empty table; rows with a null id or language are judged by their text;
+    repeated rows are judged each; other columns come through as they are.
+    """
     if "lang" not in docs.columns:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     filters = langid.fit(docs)
@@ -25,7 +29,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated runs of lines. Documents that had text and lose all of it go; n_chars, where there, follows the text."""
+    """Cut repeated runs of lines. Documents that had text and lose all of it go; n_chars, where there, follows the text.
+
+    Defined cases: null and empty texts stay, as they lose nothing; of repeated rows the first keeps its text and the others go, if they are long enough to be cut; null ids count as smallest;
+    an empty table gives an empty one.
+    """
     ship(spark)
     names = docs.columns
     cut = linededup.dedup_lines(docs)
@@ -37,7 +45,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: the one with the smallest id, null before others. Five-word shingles, similarity 0.8."""
+    """One row of each group stays: the one with the smallest id, null before others. Five-word shingles, similarity 0.8.
+
+    Defined cases: null text counts as empty, and texts without words are alike, so one of them stays; of repeated rows one stays, any of them; a text of fewer words than five is one shingle;
+    an empty table gives an empty one.
+    """
     rows = numbered(docs)
     ids = rows.select(F.col(ROW).alias("r"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
     with scratch(spark):
