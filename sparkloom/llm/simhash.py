@@ -285,6 +285,8 @@ def hamming_edges(nodes: DataFrame, radius: int = 4, rows: int | None = None, sh
     """Links (a, b), a > b, whose connected components are those of all links. nodes: node and fp, distinct.
 
     A shard is named by a 64-bit hash of its number and cell; should two shards share a name, the distance still decides about each pair.
+
+    Defined cases: no or one node, or nodes that are all far apart, give no link; node and fp may not be null, and no node may have two rows.
     """
     spark = nodes.sparkSession
     ship(spark)
@@ -532,6 +534,9 @@ def similar_rows(docs: DataFrame, size: int = 5, similarity: float = 0.8, row_co
     another pair its test, before its exact similarity is known. In large shards each node is first tried with the smallest
     node of one of them, which joins large groups of near copies by one link a node; then all pairs are tried within the groups that the trees find.
     Joins whose sides grow with the documents are sorted merges at any size, so that a plan seen on a small table is that of a large one.
+
+    Defined cases: null text counts as empty; texts without words are one node; a text of fewer words than size is one shingle; equal texts share a root;
+    an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
