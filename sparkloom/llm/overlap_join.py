@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import ROW, map_arrow, numbered, ship, spread_join, stash, text_slices, unstash, utf8_buffers
-from .simhash import _dealt, _distance, _forest, _joined, _often, _parts, _shards, components
+from .simhash import _dealt, _distance, _joined, _often, _parts, _shards, components
 from .words import NON_SPACE_BYTES, hashes, mix, shingle_hashes, spans
 
 SIZE, PERCENT = 5, 80
@@ -37,7 +37,7 @@ BITMAP, BITMAP_MOST = 2048, 1 << 16
 #: Bytes of bitmaps that are compared at once.
 _COMPARED = 1 << 24
 #: Nodes of one posting list that meet in a task, and members and shingles of a part of a family.
-LIST_ROWS, GROUP_ROWS, GROUP_SHINGLES = 2048, 512, 200_000
+LIST_ROWS, GROUP_ROWS, GROUP_SHINGLES = 512, 512, 200_000
 #: Weight of a probe against a merge step, as DivideSkip's authors fit it.
 MU = 0.0085
 #: Rows of lists that are merged at once, and pairs that are compared at once.
@@ -67,6 +67,15 @@ def shingles(texts: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(owner), np.concatenate(found)
 
 
+def _stars(node: np.ndarray, known: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its group) of the nodes that pairs, or a known group, join with a smaller one."""
+    root = _joined(known, pairs)[0]
+    head = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(head, root, node)
+    joined = head[root] != node
+    return node[joined], head[root][joined]
+
+
 def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -200,7 +209,7 @@ def _lists(dealt: DataFrame) -> DataFrame:
 
 
 def _candidates(met: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b), of each list's as many as join what they all join. met: key (the list), node, side, size, bitmap, sorted by key."""
+    """(a, b): each node of a list with the smallest one that the list's candidate pairs join it with. met: key (the list), node, side, size, bitmap, sorted by key."""
 
     def pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of all i < j of each list."""
@@ -227,9 +236,9 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
                     yield x[fit], y[fit]
 
             _, known = np.unique(node, return_inverse=True)
-            x, y = _forest(known, close())
-            if len(x):
-                yield {"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])}
+            a, b = _stars(node, known, close())
+            if len(a):
+                yield {"a": a, "b": b}
 
     return map_arrow(met, joined, "a bigint, b bigint", ["key", "node", "side", "size", "bitmap"]).distinct()
 
@@ -321,7 +330,7 @@ def occurrences(owner: np.ndarray, value: np.ndarray, size: np.ndarray, side: np
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Shards of two rows or more, one after the other; rows come sorted by key."""
-    names = ("key", "side", "node", "known", "text")
+    names = ("key", "side", "node", "known", "wide", "text")
     rest: list[dict] = []
     for batch in batches:
         for part in text_slices(batch, "text"):
@@ -357,13 +366,13 @@ def _texts_of(members: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
 
 
 def _linked(dealt: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of a spanning forest of what is alike enough in each shard. dealt: key, side, node, known, text, sorted by key, then side falling."""
+    """(a, b, wide): each node of a shard with the smallest one that links in it, and known groups, join it with. dealt: key, side, node, known, wide, text, sorted by key."""
 
     def search(held: list[dict]) -> dict | None:
-        node, known, side, text = (np.concatenate([g[k] for g in held]) for k in ("node", "known", "side", "text"))
+        node, known, wide, side, text = (np.concatenate([g[k] for g in held]) for k in ("node", "known", "wide", "side", "text"))
         shard = np.repeat(np.arange(len(held)), [len(g["node"]) for g in held])
         order = np.lexsort((-side, shard))  # side 2 before side 1
-        node, known, side, text, shard = (v[order] for v in (node, known, side, text, shard))
+        node, known, wide, side, text, shard = (v[order] for v in (node, known, wide, side, text, shard))
         owner, h = shingles(pa.array(text, pa.large_string()), size)
         cell = np.lexsort((h, owner))
         owner, h = owner[cell], h[cell]
@@ -373,7 +382,12 @@ def _linked(dealt: DataFrame, size: int, percent: int) -> DataFrame:
             value = mix(h ^ mix(shard[owner].astype(np.uint64) + np.uint64(1)))
         _, group = np.unique(known, return_inverse=True)
         x, y = occurrences(owner, value, np.bincount(owner, minlength=len(node)), side, group, percent)
-        return {"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])} if len(x) else None
+        if not len(x):
+            return None
+        # A node that is in several shards joins them, as it would later.
+        a, b = _stars(node, group, iter([(x, y)]))
+        broad = np.isin(a, node[wide])
+        return {"a": a, "b": b, "wide": broad}
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         waiting, size_now = [], 0
@@ -387,7 +401,7 @@ def _linked(dealt: DataFrame, size: int, percent: int) -> DataFrame:
         if waiting and (out := search(waiting)) is not None:
             yield out
 
-    return map_arrow(dealt, step, "a bigint, b bigint", ["key", "side", "node", "known", "text"]).distinct()
+    return map_arrow(dealt, step, "a bigint, b bigint, wide boolean", ["key", "side", "node", "known", "wide", "text"]).distinct()
 
 
 def similar_nodes(nodes: DataFrame, rows: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
@@ -413,17 +427,20 @@ def similar_nodes(nodes: DataFrame, rows: DataFrame, size: int, percent: int, te
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     # The family's smallest node is in all parts.
     first = placed.withColumn("part", F.explode(F.when(F.col("node") == F.col("family"), every).otherwise(F.array(chunk))))
-    first = first.select(F.xxhash64("family", "part").alias("key"), F.lit(0).alias("side"), "node", F.col("node").alias("known"), "text")
+    first = first.select(F.xxhash64("family", "part").alias("key"), F.lit(0).alias("side"), "node", F.col("node").alias("known"), (F.col("chunks") > 1).alias("wide"), "text")
     links = stash(_linked(first.repartition(parts, "key").sortWithinPartitions("key"), size, percent), "links")
+    # A family in one part is done; those in several go on.
+    done = links.where("not wide").select(F.col("a").alias("node"), F.col("b").alias("root"))
     wide = placed.where("chunks > 1")
-    if not wide.isEmpty():
-        links = links.union(_rest(wide, links, size, percent, parts))
-    return components(links)
+    if wide.isEmpty():
+        return done
+    found = links.where("wide").select("a", "b")
+    return done.union(components(found.union(_rest(wide, found, size, percent, parts).select("a", "b"))))
 
 
 def _rest(wide: DataFrame, links: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
-    """Links between the parts of large families, but for pairs within a family's largest group so far. wide: node, family, chunks, text."""
-    roots = components(links).select(F.col("node").alias("m"), "root")
+    """Links between the parts of large families, but for pairs within a family's largest group so far. wide: node, family, chunks, text; links: each node with the smallest of its part's group."""
+    roots = links.select(F.col("a").alias("m"), F.col("b").alias("root"))
     known = stash(wide.select("node", "family").join(roots.hint("merge"), F.col("node") == F.col("m"), "left").select("node", "family", F.coalesce("root", "node").alias("known")), "known")
     groups = known.groupBy("family", "known").agg(F.count(F.lit(1)).alias("n"))
     top = groups.groupBy(F.col("family").alias("f")).agg(F.max_by("known", F.struct("n", "known")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
@@ -440,7 +457,7 @@ def _rest(wide: DataFrame, links: DataFrame, size: int, percent: int, parts: int
     at = at.withColumn("other", F.explode(meets))
     key = F.xxhash64("family", F.least("part", "other"), F.greatest("part", "other"))
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
-    dealt = at.select(key.alias("key"), side.alias("side"), "node", "known", "text").repartition(parts, "key").sortWithinPartitions("key")
+    dealt = at.select(key.alias("key"), side.alias("side"), "node", "known", F.lit(True).alias("wide"), "text").repartition(parts, "key").sortWithinPartitions("key")
     return _linked(dealt, size, percent)
 
 
