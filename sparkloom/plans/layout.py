@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
 from ..operators import navigation, positioned
+from ..sources import fences
 from .queries import _table, query
 
 PER_FILE = 40
@@ -58,3 +59,28 @@ def nav_entries(spark, sf_dir):
     files = pages.groupBy(F.floor(i / PER_FILE).alias("name")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", lines.alias("lines")))), lambda x: x["lines"]), "\n").alias("text"))  # PER_FILE pages each
     origin = F.element_at(F.array(*[F.lit(o) for o in navigation.ORIGINS]), (c("name") % 6 + 1).cast("int"))
     return navigation.merged(navigation.from_outline(files.select(origin.alias("origin"), "name", "text")))
+
+
+_WORDS = "(SELECT doc_id, i, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (SELECT doc_id, i, lower(regexp_extract(line, '[A-Za-z]{3,}')) AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents)) WHERE w <> '')"
+
+
+@query(f"""WITH f AS {_WORDS}, e AS (
+  SELECT doc_id, n, 'import' AS kind, '@org/' || w || '/sub' AS value, 1 AS place FROM f WHERE i % 4 = 0 UNION ALL SELECT doc_id, n, 'package_name', '@org/' || w, 1 FROM f WHERE i % 4 = 0
+  UNION ALL SELECT doc_id, n, 'symbol', w, 1 FROM f WHERE i % 4 = 0 UNION ALL SELECT doc_id, n, 'symbol', w || '_x', 2 FROM f WHERE i % 4 = 0 UNION ALL SELECT doc_id, n, 'route', '/v1/' || w, 1 FROM f WHERE i % 8 = 0
+  UNION ALL SELECT doc_id, n, 'config_file', w || '.config.ts', 1 FROM f WHERE i % 4 = 0 UNION ALL SELECT doc_id, n, 'cli_command', 'npm', 1 FROM f WHERE i % 4 = 1 UNION ALL SELECT doc_id, n, 'package_name', w, 1 FROM f WHERE i % 4 = 1
+  UNION ALL SELECT doc_id, n, 'config_key', unnest([w, 'in_' || w, 'k-' || w]), unnest([1, 2, 3]) FROM f WHERE i % 4 = 2 UNION ALL SELECT doc_id, n, 'config_key', unnest([w, 'sub_' || w]), unnest([1, 2]) FROM f WHERE i % 4 = 3)
+SELECT e.doc_id, CAST(e.n AS INTEGER) AS fence, CASE WHEN f.i % 8 = 0 THEN 'The api of it' ELSE 'Notes' END AS section, kind, value, CAST(place AS INTEGER) AS place FROM e JOIN f USING (doc_id, n)""")
+def fence_entities(spark, sf_dir):
+    """Each line with a word is a section with a code fence in one of four languages that names the word."""
+    c, w, i = F.col, F.col("w"), F.col("i")
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    words = lines.select("doc_id", "i", F.lower(F.regexp_extract("line", "[A-Za-z]{3,}", 0)).alias("w")).where("w <> ''")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    script = say("```ts\nimport { ", w, " as ", w, "_x } from '@org/", w, "/sub';\nfetch(\"/v1/", w, "\"); fetch(\"/v1/", w, ".json\");\n// see ", w, ".config.ts\n```")
+    shell = say("```bash\n$ npm install -D ", w, "@1.2\n# npm add no\n```")
+    tree = say("```jsonc\n{\"", w, "\": {\"in_", w, "\": [{\"k-", w, "\": 1},]}} // end\n```")
+    yaml = say("```yaml\n", w, ": # note: no\n  sub_", w, ": 1\n```")
+    block = say("## ", F.when(i % 8 == 0, "The api of it").otherwise("Notes"), "\n\n", F.when(i % 4 == 0, script).when(i % 4 == 1, shell).when(i % 4 == 2, tree).otherwise(yaml))
+    docs = words.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))  # the lines of one document
+    found = fences.entities(docs.select(c("doc_id").cast("string").alias("path"), "text"))
+    return found.select(c("path").cast("bigint").alias("doc_id"), "fence", "section", "kind", "value", "place")
