@@ -97,6 +97,8 @@ def normalized_file(path: Column) -> Column:
 DECISION = r"(?i)\b(why|tradeoff|trade-off|rationale|decision|decisions|chose|prefer|prefers|alternative)\b"
 SYMBOL = r"[a-z][A-Z]|[A-Za-z]+\.[A-Za-z]+|[A-Za-z]+\(\)"
 FILE_PATH = r"\b((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+)\b"
+#: The same, but each run of letters is tried once: a match from within it means one from its start.
+JAVA_SYMBOL = r"[a-z][A-Z]|(?<![A-Za-z])[A-Za-z]++(?:\.[A-Za-z]|\(\))"
 #: Java takes a step of recursion for each repetition of a group that it may give back, so here a path has at most FOLDERS folders at once; a longer one is found in parts.
 FOLDERS = 256
 #: The first place of a run of these characters where a word may begin: a match from any later one begins there too, so each run is tried once.
@@ -108,5 +110,5 @@ def query_intent(task: Column) -> Column:
     task = F.coalesce(task, F.lit(""))
     return (
         F.when(~task.rlike("[A-Za-z0-9]"), "signal_empty").when(task.rlike(JAVA_FILE_PATH), "file_anchored").when(task.rlike(DECISION), "decision_lookup")
-        .when(task.rlike(SYMBOL), "exact_symbol").otherwise("broad_domain")
+        .when(task.rlike(JAVA_SYMBOL), "exact_symbol").otherwise("broad_domain")
     )

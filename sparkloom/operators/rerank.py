@@ -125,18 +125,18 @@ def _weights(shown: DataFrame, query: str) -> DataFrame:
     known = shown.select(F.explode(F.array_distinct(F.concat(structural, F.col("alias_whole")))).alias("token"))
     forms = token_matches(every, known).withColumnRenamed("token", "w")
     every = every.join(forms, c("token") == c("w"), "left").drop("w").withColumn("forms", F.coalesce("forms", F.array().cast("array<string>")))
-    asks = every.groupBy(query, "n").agg(F.sort_array(F.collect_list(F.struct("at", "token", "forms"))).alias("asks")).withColumnRenamed(query, "q")
-    met = shown.select(query, structural.alias("tokens")).join(asks, c(query) == c("q"))
-    hit = met.select("q", F.explode(F.filter(F.transform("asks", lambda a: F.when(F.arrays_overlap(a["forms"], c("tokens")), a["at"])), lambda x: x.isNotNull())).alias("k"))
-    df = hit.groupBy("q", "k").agg(F.count(F.lit(1)).alias("df")).groupBy(F.col("q").alias("dq")).agg(F.map_from_entries(F.collect_list(F.struct("k", "df"))).alias("dfs"))
+    asks = every.groupBy(query, "n").agg(F.sort_array(F.collect_list(F.struct("at", "token", "forms"))).alias("asks")).withColumnRenamed(query, "__query")
+    met = shown.select(query, structural.alias("tokens")).join(asks, c(query) == c("__query"))
+    hit = met.select("__query", F.explode(F.filter(F.transform("asks", lambda a: F.when(F.arrays_overlap(a["forms"], c("tokens")), a["at"])), lambda x: x.isNotNull())).alias("k"))
+    df = hit.groupBy("__query", "k").agg(F.count(F.lit(1)).alias("df")).groupBy(F.col("__query").alias("dq")).agg(F.map_from_entries(F.collect_list(F.struct("k", "df"))).alias("dfs"))
     raw = lambda n, df: F.when(df == 0, 0.55).otherwise(0.20 + F.log((n + 1.0) / (df + 1.0)) / F.greatest(F.log(n + 1.0), F.lit(1e-6)))
-    weighed = asks.join(df, c("q") == c("dq"), "left")
+    weighed = asks.join(df, c("__query") == c("dq"), "left")
 
     def weigh(a: Column) -> Column:
         found = F.coalesce(F.try_element_at(c("dfs"), a["at"]), F.lit(0))
         return F.struct(a["token"].alias("token"), a["forms"].alias("forms"), F.greatest(F.lit(0.18), F.least(F.lit(1.0), raw(c("n"), found))).alias("weight"))
 
-    return weighed.select("q", F.transform("asks", weigh).alias("asks"))
+    return weighed.select("__query", F.transform("asks", weigh).alias("asks"))
 
 
 def _hits(tokens: Column) -> Column:
@@ -183,7 +183,7 @@ def features(candidates: DataFrame, query: str, stems=lambda tokens: tokens) ->
     # Written, as several steps read them: first the candidates, then their tokens, then what their tokens cover.
     shown = surfaces(written(candidates, "candidates"), stems).withColumn("owner_tokens", owner_tokens(c("tokens"))).withColumn("has_profile", c("title").isNotNull())
     shown = written(shown, "surfaces")
-    out = shown.join(_weights(shown, query), c(query) == c("q")).drop("q")
+    out = shown.join(_weights(shown, query), c(query) == c("__query")).drop("__query")
     for s in SURFACES:
         out = out.withColumn(f"own_{s}", _covered(c(f"{s}_whole")))
     strong = {s: _strongest(c(f"{s}_whole")) for s in ("file", "title", "path")}
@@ -272,6 +272,6 @@ def reranked(candidates: DataFrame, query: str, stems=lambda tokens: tokens) ->
     """features with the final score and rerank_rank, by score, rank of the best chunk, source."""
     c = F.col
     scored = features(candidates, query, stems)
-    final = inherited(scored, query).select(c(query).alias("q"), c("source").alias("s"), c("score").alias("final"))
-    out = scored.withColumnRenamed("score", "model_score").join(final, (c(query) == c("q")) & (c("source") == c("s"))).drop("q", "s").withColumnRenamed("final", "score")
+    final = inherited(scored, query).select(c(query).alias("__query"), c("source").alias("__source"), c("score").alias("__final"))
+    out = scored.withColumnRenamed("score", "model_score").join(final, (c(query) == c("__query")) & (c("source") == c("__source"))).drop("__query", "__source").withColumnRenamed("__final", "score")
     return out.withColumn("rerank_rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), "chunk_rank", "source")))
