@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  (it registers all queries)
 from sparkloom.functions import readiness, stemmer
 from sparkloom.operators import anchors
 from sparkloom.plans import queries as plan
