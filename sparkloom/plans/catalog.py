@@ -90,7 +90,7 @@ def hierarchy_inheritance(spark, sf_dir):
   round(max(CASE rank WHEN 1 THEN score END) - max(CASE rank WHEN 3 THEN score END), 6) AS margin13 FROM ranked GROUP BY 1""")
 def adjacent_margins(spark, sf_dir):
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
-    return _ranked(spark, sf_dir).groupBy("item_id").agg(at(1).alias("top1"), F.round(at(1) - at(2), 6).alias("margin12"), F.round(at(1) - at(3), 6).alias("margin13"))
+    return _ranked(spark, sf_dir, 3).groupBy("item_id").agg(at(1).alias("top1"), F.round(at(1) - at(2), 6).alias("margin12"), F.round(at(1) - at(3), 6).alias("margin13"))
 
 
 @query(f"""WITH {_ALL_RANKED}, s AS (SELECT item_id, source, dense_rank() OVER (PARTITION BY item_id ORDER BY min(rank)) AS source_rank FROM ranked GROUP BY 1, 2)

@@ -13,8 +13,9 @@ from ..functions import scoring as S
 from ..functions import stemmer
 from ..operators import anchors, ranking
 from ..sources import markdown
+from ..sources.scratch import written
 from .catalog import _q
-from .queries import _PATH, _ALL_RANKED, _index, _ranked, _table, query, sql_tokens
+from .queries import _PATH, _ALL_RANKED, _final_scores, _index, _table, query, sql_tokens
 
 _SLOTS = """s AS (
   SELECT l_orderkey AS pack, l_linenumber AS slot, l_returnflag <> 'N' AS required, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linestatus = 'O' END AS task_critical,
@@ -73,7 +74,9 @@ SELECT item_id, n AS n_ranked, CASE WHEN n = 0 THEN 'empty' WHEN bare THEN CASE
   WHEN NOT anchored AND ((n >= 2 AND t1 - t2 < 0.12) OR (n >= 3 AND t1 - t3 < 0.15)) THEN 'uncertain' WHEN t1 >= CASE WHEN anchored THEN 0.5 ELSE 0.95 END THEN 'confident' WHEN t1 < 0.05 THEN 'empty' ELSE 'uncertain' END AS confidence FROM q""")
 def coverage_confidence(spark, sf_dir):
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
-    top = _ranked(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), at(1).alias("t1"), at(2).alias("t2"), at(3).alias("t3"))
+    scored = written(_final_scores(spark, sf_dir), "scores")
+    first = ranking.top_per_query(scored, "item_id", 3, F.desc("score"), "doc_id").groupBy(F.col("item_id").alias("i")).agg(at(1).alias("t1"), at(2).alias("t2"), at(3).alias("t3"))
+    top = scored.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).join(first, F.col("item_id") == F.col("i")).drop("i")
     tasks = _table(spark, sf_dir, "benchmark").select("item_id", I.query_intent(F.col("text")).alias("intent")).join(top, "item_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     c = F.col
     said = R.result_confidence(c("n"), c("t1"), c("t2"), c("t3"), c("intent") == "file_anchored", c("intent") == "signal_empty")
@@ -171,15 +174,17 @@ def freshness_transitions(spark, sf_dir):
 
 @query()
 def stemmed_df(spark, sf_dir):
-    """Document frequency of each stem. Terms are counted before the distinct ones are stemmed."""
-    terms = _index(spark, sf_dir).select("doc_id", "term").distinct()
-    return stemmer.with_stems(terms).select("doc_id", "stem").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
+    """Document frequency of each stem. Terms are counted, and written, before the distinct ones are stemmed."""
+    terms = written(_index(spark, sf_dir).select("doc_id", "term").distinct(), "terms")
+    return stemmer.with_stems(terms.repartition("doc_id")).select("doc_id", "stem").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query()
 def stemmed_bm25(spark, sf_dir):
     """The fielded ranking over stems, of tasks and documents alike."""
-    index = stemmer.with_stems(_index(spark, sf_dir)).select("doc_id", "field", "pos", F.col("stem").alias("term"))
+    docs = _index(spark, sf_dir)
+    index = written(docs.groupBy("doc_id", "field", "term").agg(F.count(F.lit(1)).alias("n")), "terms")
+    index = stemmer.with_stems(index.repartition("doc_id")).select("doc_id", "field", F.col("stem").alias("term"), F.explode(F.sequence(F.lit(1), "n")).alias("pos"))
     asked = stemmer.with_stems(ranking.query_terms(_table(spark, sf_dir, "benchmark"), "item_id", "text")).select("item_id", F.col("stem").alias("term")).distinct()
     n = asked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_terms"))
     return ranking.bm25(index, asked.join(n, "item_id"), "doc_id", "item_id").select("item_id", "doc_id", "matched", F.round("raw", 6).alias("raw"), F.round("bm25", 6).alias("bm25"))

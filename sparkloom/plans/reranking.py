@@ -13,6 +13,7 @@ from ..functions import identifiers
 from ..functions import text as T
 from ..operators import rerank
 from ..sources import profiles
+from ..sources.scratch import written
 from .queries import _ALL_RANKED, _ranked, _table, query, sql_tokens
 
 HEADING, TOP = 44, 30
@@ -25,11 +26,12 @@ def _clean(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[^\p{L}0-9 ]", ""))
 
 
-def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, path, lines, text): each document as Markdown, its lines cleaned of marks."""
+def markdown(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, path, lines, text): each document as Markdown, or those whose doc_id is in only, its lines cleaned of marks."""
     c = F.col
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), _clean), lambda x: x != "")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    docs = _table(spark, sf_dir, "documents")
+    docs = (docs if only is None else docs.join(only, "doc_id", "left_semi")).select("doc_id", lines.alias("lines"))
     pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
     eighth = F.floor(c("doc_id") / 8)
     slug = F.concat(T.slugify(F.array_join(F.slice(F.split(F.coalesce(F.get("lines", 0), F.lit("none")), " "), 1, 3), " ")), F.lit("-"), c("doc_id").cast("string"))
@@ -78,8 +80,8 @@ profiled AS (
 )"""
 
 
-def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = markdown(spark, sf_dir)
+def profiled(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    docs = markdown(spark, sf_dir, only)
     found = profiles.source_profiles(docs.select("path", "text")).drop("token_count")
     sized = docs.select("doc_id", F.col("path").alias("p"), F.size("lines").cast("bigint").alias("chunk_count"), F.ceil(F.length(F.array_join("lines", "")) / 4).cast("bigint").alias("token_count"))
     return found.join(sized, F.col("path") == F.col("p")).drop("p").withColumn("role", F.when(F.col("path").startswith("archive/"), "archive").otherwise("canonical"))
@@ -118,10 +120,10 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sources of each task with their profiles, as the re-ranking takes them."""
+    """The first sources of each task with their profiles, as the re-ranking takes them. Only these sources are profiled; they are written first, as two steps read them."""
     c = F.col
-    top = _ranked(spark, sf_dir, TOP).select("item_id", "doc_id", c("score").alias("chunk_score"), c("rank").alias("chunk_rank"))
-    known = profiled(spark, sf_dir).withColumn("headings", F.transform("outline", lambda h: h["text"])).drop("outline", "summary", "questions", "slugs", "title_tokens", "heading_aliases")
+    top = written(_ranked(spark, sf_dir, TOP), "top").select("item_id", "doc_id", c("score").alias("chunk_score"), c("rank").alias("chunk_rank"))
+    known = profiled(spark, sf_dir, top.select("doc_id").distinct()).withColumn("headings", F.transform("outline", lambda h: h["text"])).drop("outline", "summary", "questions", "slugs", "title_tokens", "heading_aliases")
     return top.join(known, "doc_id").join(tasks(spark, sf_dir), "item_id").withColumn("fused_rank", F.lit(None).cast("int")).withColumnRenamed("path", "source")
 
 

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparkloom.plans import catalog, context, fusion, review  # noqa: F401  (they register their queries)
+from sparkloom.operators import ranks
+from sparkloom.plans import catalog, context, fusion, reranking, review  # noqa: F401  (they register their queries)
 from sparkloom.plans import queries as plan
 
 SMALL, TIMES = 1000, 6
@@ -50,3 +52,16 @@ def test_segments_meet_each_symbol_once(spark, grown):
     join = plans.index("Join Inner, (segment")
     assert "Aggregate [symbol" in plans[join:]
     assert out.count() <= 2 * SMALL * TIMES
+
+
+@pytest.mark.parametrize("name", ["adjacent_margins", "coverage_confidence", "eval_mrr"])
+def test_first_ranks_need_no_ranks_of_all(spark, sf, monkeypatch, name):
+    def none(*_, **__):
+        raise AssertionError("all scored documents are ranked")
+
+    monkeypatch.setattr(ranks, "ranked", none)
+    assert plan.QUERIES[name](spark, sf).count() > 0
+
+
+def test_only_the_first_sources_are_profiled(spark, sf):
+    assert {r["doc_id"] for r in reranking.profiled(spark, sf, spark.range(3, 5).select(F.col("id").alias("doc_id"))).collect()} == {3, 4}
