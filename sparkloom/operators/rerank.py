@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.scoring import rounded
 from ..functions.text import coverage, tokenize
 from ..sources.scratch import written
 
@@ -197,13 +198,13 @@ def features(candidates: DataFrame, query: str, stems=lambda tokens: tokens) ->
     support = F.greatest(c("own_heading") * 0.22, c("own_intro") * 0.25)
     count = lambda names: sum((c(f"own_{n}") >= 0.20).cast("int") for n in names)
     names, backs = count(("file", "title", "path", "alias")), count(("heading", "intro"))
-    bonus = F.when(names >= 2, 0.10).otherwise(0.0) + F.when((names >= 1) & (backs >= 1), 0.08).otherwise(0.0) + F.when((c("intent") == "file_anchored") & (c("own_file") > 0) & (names >= 2), 0.10).otherwise(0.0)
+    bonuses = (F.when(names >= 2, 0.10).otherwise(0.0), F.when((names >= 1) & (backs >= 1), 0.08).otherwise(0.0), F.when((c("intent") == "file_anchored") & (c("own_file") > 0) & (names >= 2), 0.10).otherwise(0.0))
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     leaf = F.lower(paths.stem(c("source")))
     landing = leaf.isin(*LANDINGS) | (c("has_profile") & (_any(c("title_whole"), OVERVIEW_NAMES) | _any(c("parent_whole"), OVERVIEW_NAMES)))
     topic = F.greatest("own_title", "own_path", "own_heading", "own_intro", "own_alias")
     overview = unit(0.52 + topic * 0.35 + F.when(leaf.isin("overview", "readme"), 0.10).otherwise(0.0) + F.when(F.size("owner_tokens") <= 1, 0.10).otherwise(0.0))
-    out = out.withColumn("owner", unit(identity + support + bonus)).withColumn("overview", F.when(asks_overview(c("tokens"), c("owner_tokens")) & landing & (topic > 0), overview).otherwise(0.0))
+    out = out.withColumn("owner", unit(sum(bonuses, identity + support))).withColumn("overview", F.when(asks_overview(c("tokens"), c("owner_tokens")) & landing & (topic > 0), overview).otherwise(0.0))
     # What a page is for, against what is asked.
     moves, purpose, intent = asks_migration(c("tokens")), c("purpose"), c("intent")
     fit = F.lit(0.0)
@@ -274,4 +275,4 @@ def reranked(candidates: DataFrame, query: str, stems=lambda tokens: tokens) ->
     scored = features(candidates, query, stems)
     final = inherited(scored, query).select(c(query).alias("__query"), c("source").alias("__source"), c("score").alias("__final"))
     out = scored.withColumnRenamed("score", "model_score").join(final, (c(query) == c("__query")) & (c("source") == c("__source"))).drop("__query", "__source").withColumnRenamed("__final", "score")
-    return out.withColumn("rerank_rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), "chunk_rank", "source")))
+    return out.withColumn("rerank_rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(rounded(c("score"), 9)), "chunk_rank", "source")))

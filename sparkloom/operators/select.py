@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.scoring import rounded
 from ..functions.text import tokenize
 from .rerank import CLASSES, VERSION
 
@@ -135,7 +136,7 @@ def selection(sources: DataFrame, query: str, stems=lambda tokens: tokens) -> Da
     concept = F.max(F.when(kind == "concept", c("selection_score"))).over(w)
     capped = F.array_contains("promotions", "example_for_broad_domain_promoted") & (c("selection_score") >= concept)
     s = s.withColumn("selection_score", F.when(capped, concept - STEP).otherwise(c("selection_score")))
-    s = s.withColumn("selection_rank", F.row_number().over(w.orderBy(F.desc(F.round("selection_score", 9)), "rank")))
+    s = s.withColumn("selection_rank", F.row_number().over(w.orderBy(F.desc(rounded(F.col("selection_score"), 9)), "rank")))
     return s.drop(*[x for x in s.columns if x.startswith("__")])
 
 
@@ -210,7 +211,7 @@ def close_calls(selected: DataFrame, query: str, stems=lambda tokens: tokens) ->
     card = F.struct("selection_score", *CARD)
     at = lambda k: F.max(F.when(c("selection_rank") == k, card))
     pairs = selected.where(c("selection_rank") <= 2).groupBy(query).agg(at(1).alias("a"), at(2).alias("b"), F.first("intent").alias("intent")).where(c("b").isNotNull())
-    pairs = pairs.withColumn("margin", c("a.selection_score") - c("b.selection_score")).where(F.round("margin", 9) < CLOSE)
+    pairs = pairs.withColumn("margin", c("a.selection_score") - c("b.selection_score")).where(rounded(c("margin"), 9) < CLOSE)
     return pairs.withColumn("votes", pair_votes(c("a"), c("b"), c("intent"), stems)).withColumn("verdict", verdict(c("votes")))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers
 from ..functions import text as T
+from ..functions.scoring import rounded
 from ..operators import rerank
 from ..sources import profiles
 from ..sources.scratch import written
@@ -220,6 +221,6 @@ r_fold AS (
 SELECT item_id, src AS source, intent, round(in_title, 6) AS in_title, round(in_path, 6) AS in_path, round(in_heading, 6) AS in_heading, round(own_file, 6) AS own_file, round(owner, 6) AS owner, round(overview, 6) AS overview, purpose_fit, round(astray, 6) AS astray,
   round(container, 6) AS container, narrow, role_cost, topology, round(model_score, 6) AS model_score, round(final, 6) AS score, CAST(rerank_rank AS INTEGER) AS rerank_rank FROM r_final""")
 def source_rerank(spark, sf_dir):
-    out = rerank.reranked(candidates(spark, sf_dir), "item_id")
-    six = lambda n: F.round(n, 6).alias(n)
+    c, out = F.col, rerank.reranked(candidates(spark, sf_dir), "item_id")
+    six = lambda n: rounded(c(n), 6).alias(n)
     return out.select("item_id", "source", "intent", *map(six, ("in_title", "in_path", "in_heading", "own_file", "owner", "overview")), "purpose_fit", *map(six, ("astray", "container")), "narrow", "role_cost", "topology", *map(six, ("model_score", "score")), "rerank_rank")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (it registers all queries)
-from sparkloom.functions import readiness, stemmer
+from sparkloom.functions import readiness, scoring, stemmer
 from sparkloom.operators import anchors
 from sparkloom.plans import queries as plan
 from sparkloom.sources import markdown
@@ -59,3 +59,13 @@ def test_stemmed_rank_covers_the_plain_one(spark, sf):
     assert plain.exceptAll(plan.QUERIES["stemmed_bm25"](spark, sf).select("item_id", "doc_id")).isEmpty()
     assert plan.QUERIES["stemmed_df"](spark, sf).count() > 0
     assert plan.QUERIES["markdown_sections"](spark, sf).select("doc_id").distinct().count() == spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text").rlike(r"\S")).count()
+
+
+def test_rounding_of_halves_is_that_of_sql(spark):
+    import duckdb
+
+    values = [0.1303315, 0.061927499999999996, 1.0000005, -0.1303315, -2.5, 0.0, 1e-7, 0.3, 12.3456785]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i").select(scoring.rounded(F.col("x"), 6).alias("y"), F.round("x", 6).alias("z")).collect()
+    want = [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
+    assert [r["y"] for r in rows] == want
+    assert [r["z"] for r in rows][:2] != want[:2]
