@@ -14,6 +14,7 @@ from ..functions import paths as P
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import budget
+from ..sources.scratch import written
 from .queries import _table, query, sql_light, sql_tokens
 
 ROLES = [("**/assistant/part[13].md", "example"), ("src1*/**", "archive"), ("**/part5.md", "ideation")]
@@ -161,7 +162,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.asc_nulls_last("selection_rank"), F.asc_nulls_last("rerank_rank"), F.desc("packing_score"), F.desc("final_score"), F.desc("specificity"),
         F.desc(F.round("bm25", 6)), F.desc(F.round("heading_match", 6)), "id",
     )
-    ordered = kept.where("clears or safety_net").withColumn("place", F.row_number().over(order))
+    ordered = written(kept.where("clears or safety_net").withColumn("place", F.row_number().over(order)), "ordered")
     filled = budget.greedy_fill(ordered, "q", "place", "tokens", "remaining")
     some = ["q", "id", F.col("place").cast("bigint").alias("place"), "safety_net", "overhead", "remaining"]
     out = filled.select(*some, F.when(c("included"), "included").otherwise("budget").alias("fate"))
