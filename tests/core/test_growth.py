@@ -65,3 +65,12 @@ def test_first_ranks_need_no_ranks_of_all(spark, sf, monkeypatch, name):
 
 def test_only_the_first_sources_are_profiled(spark, sf):
     assert {r["doc_id"] for r in reranking.profiled(spark, sf, spark.range(3, 5).select(F.col("id").alias("doc_id"))).collect()} == {3, 4}
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion", "source_aggregate"])
+def test_sources_are_found_without_ranks_of_all(spark, grown, monkeypatch, name):
+    """Only the rows up to the best one of each task's last source are ranked."""
+    seen, plain = [], ranks.ranked
+    monkeypatch.setattr(ranks, "ranked", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
+    assert plan.QUERIES[name](spark, grown[1]).count() == 6 * 4
+    assert sum(seen) < SMALL * TIMES / 4
